@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm._common import table
 from pairloom.llm.exact_dedup import exact_dedup
+from pairloom.llm.packing import pack_documents
+from pairloom.llm.pieces import encode_pieces
+
+
+def op5_piece_agenda_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), full=False)
 
 
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_swap_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_piece_agenda_coding": op5_piece_agenda_coding,
     "op8_chunk_recipe_dedup": op8_chunk_recipe_dedup,
+    "op10_swap_search_packing": op10_swap_search_packing,
 }
 
 ORACLE_SQL = {
