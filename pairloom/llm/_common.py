@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Ends a word: the space and the five ASCII control characters \\x09-\\x0D.
-BLANKS = "\\x20\\x09-\\x0D"
+from pairloom.llm._words import cuts, plain
+
+SLICE_BYTES = 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 _own_root: list[str] = []
@@ -58,5 +62,30 @@ def _forget() -> None:
             return
 
 
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def text_map(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField]) -> DataFrame:
+    """``docs`` with further columns made from the texts, a few MB of them at a time.
+
+    ``make()`` runs once in each task and gives the function from texts (null: empty)
+    to columns. The other columns pass through as they are.
+    """
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            texts = plain(batch.column(at))
+            for start, stop in cuts(texts, SLICE_BYTES):
+                part = batch.slice(start, stop - start)
+                made = [pa.array(c) for c in compute(texts.slice(start, stop - start))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *(f.name for f in fields)])
+
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *fields]))
+
+
+#: Most rows of a side that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a written table: by broadcast if it has few rows (they are counted), else by a shuffle."""
+    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

@@ -8,31 +8,49 @@ from collections.abc import Callable
 class WordMemo:
     """Maps words to encoded values; unknown words are encoded together, in bulk.
 
-    It holds at most ``most`` words of at most ``longest`` bytes; when it is full
-    it starts anew, so its memory has a bound and its results don't depend on it.
+    It has two generations of at most ``most`` words each. When the young one is
+    full it becomes the old one, and words that turn up again move back from there.
+    So its memory has a bound, frequent words stay, and results don't depend on it.
+    Words of more than ``longest`` letters or bytes are not kept.
     """
 
     def __init__(self, encode: Callable[[list], list], most: int = 400_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
-        self.known: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
     def values(self, texts: list[list]) -> list[list]:
         """For each list of words, the list of their values."""
-        known = self.known
-        wanted = set().union(*texts) if texts else set()
-        missing = [w for w in wanted if w not in known]
-        del wanted
-        extra: dict = {}
-        if missing:
-            missing.sort()
-            if len(known) + len(missing) > self.most:
-                # The words of this batch must all be there at once, also those already known.
-                keep = set().union(*texts)
-                known = self.known = {w: v for w, v in known.items() if w in keep} if len(keep) < self.most else {}
-                missing = sorted(keep - known.keys())
-            for w, v in zip(missing, self.encode(missing)):
-                (known if len(w) <= self.longest and len(known) < self.most else extra)[w] = v
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young = self.young
+        get, old, extra = young.get, self.old.get, {}
+        out, gaps = [], []
+        for words in texts:
+            found = list(map(get, words))
+            out.append(found)
+            i = -1
+            try:
+                while True:
+                    # The next word that is not known: a scan at the speed of C.
+                    i = found.index(None, i + 1)
+                    word = words[i]
+                    value = old(word)
+                    if value is not None:
+                        young[word] = found[i] = value
+                    else:
+                        extra[word] = None
+                        gaps.append((found, i, word))
+            except ValueError:
+                pass
         if extra:
-            return [[known[w] if w in known else extra[w] for w in words] for words in texts]
-        get = known.__getitem__
-        return [list(map(get, words)) for words in texts]
+            unknown = list(extra)
+            room = self.most + 50_000 - len(young)
+            for word, value in zip(unknown, self.encode(unknown)):
+                extra[word] = value
+                if len(word) <= self.longest and room > 0:
+                    young[word] = value
+                    room -= 1
+            for found, i, word in gaps:
+                found[i] = extra[word]
+        return out
