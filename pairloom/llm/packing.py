@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from pairloom.llm._common import written
 from pairloom.llm._memo import WordMemo
+from pairloom.llm._words import cuts, plain, strung, words
 
 LENGTH, END_ID, SHARD = 2048, 0, 4096
 #: Bins filled less than this share are dealt again.
 WELL_FILLED = 0.98
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: Characters that the vocabulary's pre-tokenizer never joins to letters or digits.
 _OUTER = ".,!*%$&#|<>?:;()\"-"
 #: Up to here lower-casing and normal forms work letter by letter.
@@ -67,29 +68,38 @@ class WordEncoder:
             starts = np.cumsum([0] + [len(p) + 1 for p in some])
             code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(code.ids, "<u4")
-            at = np.fromiter((a for a, _ in code.offsets), np.int64, len(ids))
+            at = np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
             cut = np.searchsorted(at, starts) * 4
             raw = ids.tobytes()
             out.extend(raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
         return out
 
-    def _by_parts(self, words: list[bytes]) -> list[bytes]:
-        split = []
-        for raw in words:
-            word = raw.decode()
-            if (word.isascii() or max(word) < _PLAIN) and not any(x in word for x in self.special):
-                core = word.strip(_OUTER)
-                if core and core[0].isalnum() and core[-1].isalnum():
-                    at = word.index(core)
-                    split.append([x for x in (word[:at], core.lower(), word[at + len(core) :]) if x])
-                    continue
-            split.append([word])
-        return list(map(b"".join, self.parts.values(split)))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        # bytes.split() cuts at the six ASCII blanks only.
-        return list(map(b"".join, self.words.values([t.split() for t in texts])))
+    def _by_parts(self, some: list[bytes]) -> list[bytes]:
+        parts: list[str] = []
+        ends = []
+        for word in b" ".join(some).decode().split(" "):
+            core = word.strip(_OUTER)
+            plain = core and core[0].isalnum() and core[-1].isalnum() and (word.isascii() or max(word) < _PLAIN)
+            if not plain or "<|" in word and any(x in word for x in self.special):
+                parts.append(word)
+            elif len(core) == len(word):
+                parts.append(word.lower())
+            else:
+                at = word.index(core)
+                if at:
+                    parts.append(word[:at])
+                parts.append(core.lower())
+                if at + len(core) < len(word):
+                    parts.append(word[at + len(core) :])
+            ends.append(len(parts))
+        code = self.parts.values([parts])[0]
+        return [code[a] if b - a == 1 else b"".join(code[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and the bounds of each text."""
+        different, number, bounds = words(texts)
+        values = self.words.values([different.cast(pa.large_binary()).to_pylist()])[0]
+        return strung(values, 4, number, bounds)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -115,27 +125,21 @@ def _piece_rows(path: str, length: int) -> Callable:
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
 
-        def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            out: list[tuple] = []
-            for i, code in zip(ids, encoder.encode(texts)):
-                out.extend((i, *p) for p in pieces_of(code, length))
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
-
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
-                ids.append(i.as_py())
-                texts.append(text.as_py() or b"")
-                size += len(texts[-1])
-                if size > BATCH_BYTES:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield flush(ids, texts)
+            texts = plain(batch.column(1))
+            for start, stop in cuts(texts, BATCH_BYTES):
+                ids, bounds = encoder.encode(texts.slice(start, stop - start))
+                docs, found = [], []
+                for i in range(stop - start):
+                    for piece in pieces_of(ids[bounds[i] : bounds[i + 1]].tobytes(), length):
+                        docs.append(start + i)
+                        found.append(piece)
+                cols = list(zip(*found))
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(docs)), *(pa.array(c, t) for c, t in zip(cols, types))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return rows
 
