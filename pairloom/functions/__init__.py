@@ -1 +1 @@
-"""See the module docstrings."""
+"""Scalar functions as Column expressions."""

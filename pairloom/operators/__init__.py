@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators as functions from DataFrames to DataFrames."""

@@ -1,7 +1,728 @@
-"""All registered queries of the library."""
+"""All registered queries of the library. A key starts with the IDs of the operators it runs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.functions import numbers, text
+from pairloom.functions.features import BUCKETS, FEATURES, HYBRID_ONLY, with_bucket_scores
+from pairloom.operators import contracts, cost, labels, metrics, pairs, selection, summary
+from pairloom.plans import fixtures
+from pairloom.plans.fixtures import sql
+
 FLAGSHIP = "T2_bucketed_selection"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _lit_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# --- pairs and texts
+
+
+@query(sql("SELECT pair_id, label, split, a_id, a_cluster, a_title, a_brand, a_price, b_description, b_priceCurrency, is_hard_negative FROM pairs", "pairs"))
+def P1_P2_P3_typed_pairs(spark, sf):
+    a, b = F.col("record_a"), F.col("record_b")
+    pick = lambda r, n, s: r["attributes"][n].alias(f"{s}_{n}")
+    return fixtures.pairs(spark, sf).select(
+        "pair_id", "label", "split", a["record_id"].alias("a_id"), a["entity_id"].alias("a_cluster"), pick(a, "title", "a"), pick(a, "brand", "a"), pick(a, "price", "a"),
+        pick(b, "description", "b"), pick(b, "priceCurrency", "b"), F.col("metadata.is_hard_negative").alias("is_hard_negative"),
+    )
+
+
+@query(sql("SELECT pair_id, split, label::INT AS label, CASE WHEN label THEN 'match' ELSE 'non-match' END AS target_label, input_text FROM texts", "texts"))
+def P4_P5_P6_serialized(spark, sf):
+    return fixtures.rows(spark, sf).select("pair_id", "split", "label", "target_label", "input_text")
+
+
+@query(sql("SELECT pair_id, CASE WHEN length(input_text) <= 300 THEN input_text ELSE substr(input_text, 1, 297) || '...' END AS preview FROM texts", "texts"))
+def P7_preview(spark, sf):
+    return fixtures.rows(spark, sf).select("pair_id", text.preview(F.col("input_text"), 300).alias("preview"))
+
+
+@query(
+    sql(
+        "SELECT pair_id, array_to_string(list_sort(ta), ' ') AS words, array_to_string(list_sort(ma), ' ') AS models, round(t, 12) AS jaccard, pa AS price FROM plain", "plain"
+    )
+)
+def P8_P9_P10_P11_P12_tokens(spark, sf):
+    title = lambda r: text.attribute(F.col(r), "title")
+    words, other = text.word_tokens(title("record_a")), text.word_tokens(title("record_b"))
+    return fixtures.pairs(spark, sf).select(
+        "pair_id",
+        F.array_join(F.array_sort(words), " ").alias("words"),
+        F.array_join(F.array_sort(text.model_tokens(title("record_a"))), " ").alias("models"),
+        F.round(text.jaccard(words, other), 12).alias("jaccard"),
+        text.price(text.attribute(F.col("record_a"), "price")).alias("price"),
+    )
+
+
+@query(sql("SELECT pair_id, ordinal, raw_answer, label, valid FROM cache", "cache"))
+def P13_answers(spark, sf):
+    return fixtures.cache(spark, sf).select("pair_id", "ordinal", "raw_answer", "label", "valid")
+
+
+_DECISIONS = """SELECT pair_id, ordinal, CASE ordinal % 12 WHEN 0 THEN 'Match, surely' WHEN 1 THEN 'non match' WHEN 2 THEN 'text [[decision]] no match' WHEN 3 THEN '{"decision": "Match"}'
+  WHEN 4 THEN '{"decision": "[[decision]] non-match"}' WHEN 5 THEN '' WHEN 6 THEN 'unclear' WHEN 7 THEN concat('no match', chr(10), 'match') WHEN 8 THEN concat('so: ', chr(34), 'decision', chr(34), ': ', chr(34), 'match', chr(34))
+  WHEN 9 THEN '{"decision": "maybe"}' WHEN 10 THEN '  NON-MATCH. ' ELSE concat('hm', chr(10), 'match') END AS answer FROM {t}"""
+
+
+@query(
+    sql(
+        f"WITH d AS ({_DECISIONS.replace('{t}', 'pairs')}) SELECT pair_id, ordinal, CASE ordinal % 12 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 7 THEN false WHEN 8 THEN true WHEN 10 THEN false END AS decision FROM d",
+        "pairs",
+    )
+)
+def P14_decisions(spark, sf):
+    told = spark.sql(_DECISIONS.replace('{"', '{{"').replace('"}', '"}}'), t=fixtures.pairs(spark, sf).select("pair_id", "ordinal"))
+    return told.select("pair_id", "ordinal", text.decision(F.col("answer")).alias("decision"))
+
+
+@query(
+    sql(
+        "SELECT pair_id, md5('Task: decide whether Record A and Record B refer to the same real-world product.' || chr(10) || chr(10) || 'Return exactly one of these labels:' || chr(10)"
+        " || '- match: the two records refer to the same real-world product.' || chr(10) || '- non_match: the two records refer to different real-world products.' || chr(10) || chr(10)"
+        " || 'Do not explain your answer. Do not output JSON. Do not add punctuation.' || chr(10) || 'pair_id: ' || pair_id || chr(10) || chr(10) || 'serialized_pair:' || chr(10) || input_text || chr(10) || chr(10) || 'label:') AS prompt_md5 FROM texts",
+        "texts",
+    )
+)
+def P15_prompts(spark, sf):
+    return fixtures.rows(spark, sf).select("pair_id", F.md5(text.prompt(F.col("pair_id"), F.col("input_text"))).alias("prompt_md5"))
+
+
+_SPELLED = "SELECT pair_id, ordinal, CASE ordinal % 7 WHEN 0 THEN '1' WHEN 1 THEN ' TRUE ' WHEN 2 THEN 'Match' WHEN 3 THEN '0' WHEN 4 THEN 'False' WHEN 5 THEN 'non_match' ELSE 'No Match' END AS told, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE CASE WHEN ordinal % 2 = 0 THEN 'Match ' ELSE 'non-match' END END AS target_label FROM {t}"
+
+
+@query(
+    sql(
+        f"WITH s AS ({_SPELLED.format(t='pairs')}), c AS (SELECT *, CASE WHEN ordinal % 7 < 3 THEN 'match' ELSE 'non_match' END AS canonical FROM s), "
+        "g AS (SELECT *, CASE WHEN target_label IS NULL THEN canonical WHEN ordinal % 2 = 0 THEN 'match' ELSE 'non_match' END AS gold FROM c) "
+        "SELECT pair_id, canonical, gold, replace(canonical, '_', '-') AS target_text, replace(gold, '_', '-') AS gold_target, CASE WHEN canonical = 'match' THEN 1 ELSE 0 END AS class_id, canonical = 'match' AS flag FROM g",
+        "pairs",
+    )
+)
+def P16_P17_P18_P19_P20_P21_labels(spark, sf):
+    s = spark.sql(_SPELLED, t=fixtures.pairs(spark, sf).select("pair_id", "ordinal"))
+    told = F.col("told")
+    return s.withColumn("canonical", text.canonical_label(told)).select(
+        "pair_id",
+        "canonical",
+        text.gold_label(F.col("target_label"), told).alias("gold"),
+        text.target_text(F.col("canonical")).alias("target_text"),
+        text.gold_target(F.col("target_label"), told).alias("gold_target"),
+        text.class_id(F.col("canonical"), {"non-match": 0, "match": 1}).alias("class_id"),
+        text.label_flag(told).alias("flag"),
+    )
+
+
+@query(
+    sql(
+        "WITH x AS (SELECT pair_id, input_text, strpos(input_text, chr(10) || chr(10) || 'Record A:' || chr(10)) AS a, strpos(input_text, chr(10) || chr(10) || 'Record B:' || chr(10)) AS b FROM texts), "
+        "y AS (SELECT pair_id, substr(input_text, 1, b - 1) AS first_segment, substr(input_text, b + 2) AS second_segment, substr(input_text, a + 12, b - a - 12) AS body_a, substr(input_text, b + 12) AS body_b FROM x) "
+        "SELECT *, '<Instruct>: same?' || chr(10) || '<Query>: ' || body_a || chr(10) || '<Document>: ' || body_b AS instruct FROM y",
+        "texts",
+    )
+)
+def P22_P23_P24_segments(spark, sf):
+    t = F.col("input_text")
+    first, second = text.split_input(t)
+    a, b = text.record_bodies(t)
+    cut = fixtures.rows(spark, sf).select("pair_id", first.alias("first_segment"), second.alias("second_segment"), a.alias("body_a"), b.alias("body_b"))
+    return cut.withColumn("instruct", text.instruct_text("same?", F.col("body_a"), F.col("body_b")))
+
+
+@query(
+    "SELECT p_partkey, trim(lower(regexp_replace(p_name || '/' || p_type || ' #' || p_size, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug, CASE WHEN p_size % 3 = 0 THEN 'full' ELSE (p_size * 2)::VARCHAR END AS budget FROM part"
+)
+def P25_P26_P27_names(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    name = F.concat(F.lit("x/train_"), F.when(F.col("p_size") % 3 == 0, "full").otherwise((F.col("p_size") * 2).cast("string")), F.lit(".jsonl"))
+    return part.select("p_partkey", text.slug(F.concat("p_name", F.lit("/"), "p_type", F.lit(" #"), "p_size")).alias("slug"), text.budget_of(name).alias("budget"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || p_brand END AS message, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size::VARCHAR END AS tokens FROM part"
+)
+def P28_P29_messages(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    q = F.lit('"')
+    content = F.when(F.col("p_size") % 2 == 0, F.concat(q, "p_name", q)).otherwise(F.concat(F.lit('[{"type":"text","text":"'), "p_name", F.lit('"},{"text":"'), "p_brand", F.lit('"}]')))
+    key = F.when(F.col("p_size") % 5 == 0, "other").when(F.col("p_size") % 5 == 1, "prompt_tokens").otherwise("input_tokens")
+    usage = F.concat(F.lit('{"'), key, F.lit('":'), F.col("p_size").cast("string"), F.lit("}"))
+    return part.select("p_partkey", text.message_text(content).alias("message"), text.first_key(usage, ["prompt_tokens", "input_tokens"]).alias("tokens"))
+
+
+@query("SELECT p_partkey, p_size AS n, 'selection_bucket=' || CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand || ';' END || 'selection_rank' AS told FROM part WHERE false UNION ALL SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END, CASE WHEN p_size % 2 = 0 THEN 'selection_rank' ELSE 'selection_bucket,selection_rank' END FROM part")
+def P30_carried_metadata(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    m = F.create_map(
+        F.lit("selection_rank"), F.col("p_size").cast("string"), F.lit("selection_bucket"), F.when(F.col("p_size") % 2 == 1, F.col("p_brand")), F.lit("dataset"), F.col("p_name")
+    )
+    kept = text.carried(m)
+    return part.select("p_partkey", F.size(kept).alias("n"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("told"))
+
+
+@query(
+    "WITH l AS (SELECT CASE WHEN p_size % 7 = 0 THEN p_name WHEN p_size % 7 = 1 THEN '=' || p_name ELSE 'k' || p_partkey % 500 || '=' || p_name || '=' || p_size END AS line FROM part), "
+    "c AS (SELECT line, CASE WHEN strpos(line, '=') = 0 THEN line ELSE substr(line, 1, strpos(line, '=') - 1) END AS key, CASE WHEN strpos(line, '=') > 0 THEN substr(line, strpos(line, '=') + 1) END AS value FROM l) "
+    "SELECT key, value, CASE WHEN value IS NULL THEN 'no_value' WHEN key = '' THEN 'empty_key' WHEN count(*) OVER (PARTITION BY key) > 1 THEN 'repeated_key' END AS error, sha256(coalesce(value, '')) AS sha256 FROM c"
+)
+def P31_P32_key_values(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    k = F.concat(F.lit("k"), (F.col("p_partkey") % 500).cast("string"), F.lit("="), "p_name", F.lit("="), F.col("p_size").cast("string"))
+    line = F.when(F.col("p_size") % 7 == 0, F.col("p_name")).when(F.col("p_size") % 7 == 1, F.concat(F.lit("="), "p_name")).otherwise(k)
+    return contracts.parsed_lines(part.select(line.alias("line"))).withColumn("sha256", F.sha2(F.coalesce("value", F.lit("")), 256))
+
+
+# --- features and scores
+
+_FEATURE_LIST = ", ".join(FEATURES)
+_SCORE_LIST = ", ".join(f"score_{b}" for b in BUCKETS)
+
+
+@query(sql(f"SELECT pair_id, {_FEATURE_LIST} FROM features", "features"))
+def M1_M14_hybrid_features(spark, sf):
+    return fixtures.featured(spark, sf).select("pair_id", *FEATURES)
+
+
+@query(sql(f"SELECT pair_id, {', '.join(f for f in FEATURES if f not in HYBRID_ONLY)}, {_SCORE_LIST} FROM scored", "scored"))
+def M15_M16_bucket_scores(spark, sf):
+    return with_bucket_scores(fixtures.featured(spark, sf)).select("pair_id", *[f for f in FEATURES if f not in HYBRID_ONLY], *[f"score_{b}" for b in BUCKETS])
+
+
+@query(
+    sql(
+        "SELECT pair_id, ordinal, coalesce(CASE WHEN ordinal % 3 = 0 THEN estimated_cost_usd END, CASE WHEN ordinal % 4 <> 0 THEN floor((input_tokens / 1000000.0::DOUBLE * 0.75 + coalesce(output_tokens, 0) / 1000000.0::DOUBLE * 4.5) * 1e12 + 0.5) / 1e12 END, 0.0) AS cost, "
+        "CASE WHEN ordinal % 5 > 0 THEN input_tokens / ((ordinal % 5) / 4.0::DOUBLE) END AS rows_per_second, ((ordinal % 5) / 4.0::DOUBLE) / input_tokens AS seconds_per_row FROM cache",
+        "cache",
+    )
+)
+def M17_M18_call_costs(spark, sf):
+    c = F.col
+    own = F.when(c("ordinal") % 4 != 0, F.lit(0.75))
+    cost_ = numbers.call_cost(c("input_tokens"), F.coalesce("output_tokens", F.lit(0)), own, F.when(c("ordinal") % 4 != 0, F.lit(4.5)), F.when(c("ordinal") % 3 == 0, c("estimated_cost_usd")))
+    tidy = F.when(c("ordinal") % 3 == 0, cost_).otherwise(F.floor(cost_ * 1e12 + 0.5) / 1e12)
+    seconds = (c("ordinal") % 5) / 4.0
+    return fixtures.cache(spark, sf).select(
+        "pair_id", "ordinal", tidy.alias("cost"), numbers.rows_per_second(c("input_tokens"), seconds).alias("rows_per_second"), numbers.seconds_per_row(c("input_tokens"), seconds).alias("seconds_per_row")
+    )
+
+
+@query(sql("SELECT pair_id, round(1 / (1 + exp(-(ordinal % 17 - 8)::DOUBLE / 4)), 9) AS p, ordinal % 17 >= 8 AS predicted FROM pairs", "pairs"))
+def M19_softmax(spark, sf):
+    logit = ((F.col("ordinal") % 17) - 8) / 4.0
+    p = numbers.match_probability(F.lit(0.5), logit + 0.5)
+    return fixtures.pairs(spark, sf).select("pair_id", F.round(p, 9).alias("p"), (p >= 0.5).alias("predicted"))
+
+
+# --- selection
+
+
+@query(sql("SELECT pair_id, active_hybrid_score AS selection_score, row_number() OVER (ORDER BY active_hybrid_score DESC, pair_id)::INT AS selection_rank, false AS selection_uses_gold_label FROM features WHERE split = 'train' ORDER BY active_hybrid_score DESC, pair_id LIMIT 32", "features"))
+def T1_W1_top_k(spark, sf):
+    train = fixtures.featured(spark, sf).filter("split = 'train'")
+    return selection.top_k(train, 32).select("pair_id", "selection_score", "selection_rank", "selection_uses_gold_label")
+
+
+def _bucket_sql(budget: int) -> str:
+    quota = selection.bucket_quotas(budget)
+    steps, names = [], []
+    for n, (b, q) in enumerate(quota.items()):
+        gone = " UNION ALL ".join(f"SELECT pair_id FROM {x}" for x in names)
+        rest = f" WHERE pair_id NOT IN ({gone})" if names else ""
+        steps.append(f"b{n} AS MATERIALIZED (SELECT *, '{b}' AS selection_bucket, {n} AS turn, {q} AS selection_bucket_quota FROM (SELECT pair_id, score_{b} AS selection_score, row_number() OVER (ORDER BY score_{b} DESC, pair_id)::INT AS selection_bucket_rank FROM train{rest}) WHERE selection_bucket_rank <= {q})")
+        names.append(f"b{n}")
+    every = " UNION ALL ".join(f"SELECT * FROM {x}" for x in names)
+    return sql(
+        f"WITH train AS (SELECT * FROM scored WHERE split = 'train'), {', '.join(steps)} SELECT pair_id, selection_bucket, selection_bucket_rank, selection_bucket_quota, selection_score, row_number() OVER (ORDER BY turn, selection_bucket_rank)::INT AS selection_rank FROM ({every})",
+        "scored",
+    )
+
+
+@query(_bucket_sql(32))
+def T2_bucketed_selection(spark, sf):
+    train = with_bucket_scores(fixtures.featured(spark, sf).filter("split = 'train'"))
+    return selection.bucketed(train, 32).select("pair_id", "selection_bucket", "selection_bucket_rank", "selection_bucket_quota", "selection_score", "selection_rank")
+
+
+@query(
+    "WITH b AS (SELECT * FROM (VALUES ('easy_match', 0, 0.5), ('hard_match', 1, 0.25), ('easy_non_match', 2, 0.25), ('hard_negative', 3, 0.1)) AS t(bucket, place, ratio)), n AS (SELECT unnest([1, 7, 16, 33, 128]) AS budget), "
+    "r AS (SELECT budget, bucket, place, budget * ratio / 1.1 AS exact FROM b, n), q AS (SELECT *, floor(exact) AS base, row_number() OVER (PARTITION BY budget ORDER BY exact - floor(exact) DESC, place) AS turn FROM r) "
+    "SELECT budget, bucket, (base + CASE WHEN turn <= budget - sum(base) OVER (PARTITION BY budget) THEN 1 ELSE 0 END)::BIGINT AS quota FROM q"
+)
+def T3_quotas(spark, sf):
+    rows = [(n, b, q) for n in (1, 7, 16, 33, 128) for b, q in selection.bucket_quotas(n, {"easy_match": 0.5, "hard_negative": 0.1}).items()]
+    return _lit_rows(spark, "budget int, bucket string, quota long", rows)
+
+
+@query(sql("SELECT pair_id, row_number() OVER (ORDER BY ordinal)::INT AS selection_rank, 'random' AS selection_strategy, true AS selection_uses_gold_label, 'wdc_products' AS dataset, 16 AS metadata_budget FROM pairs WHERE split = 'train' ORDER BY ordinal LIMIT 16", "pairs"))
+def T4_prefix_manifest(spark, sf):
+    m = selection.with_manifest_metadata(selection.prefix(fixtures.pairs(spark, sf).filter("split = 'train'"), 16))
+    return m.select("pair_id", "selection_rank", "selection_strategy", "selection_uses_gold_label", "dataset", F.col("metadata.selection_budget").alias("metadata_budget"))
+
+
+@query(
+    sql(
+        "WITH d AS (SELECT pair_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(pair_id || '|42'), pair_id) AS n FROM pairs), b AS (SELECT unnest([2, 4]) AS budget), "
+        "e AS (SELECT budget, pair_id, label FROM d, b WHERE n <= budget / 2) SELECT budget, pair_id, label, row_number() OVER (PARTITION BY budget ORDER BY md5(pair_id || '/' || budget || '|42'), pair_id)::INT AS place FROM e",
+        "pairs",
+    )
+)
+def T5_F8_U1_balanced_samples(spark, sf):
+    return selection.balanced_samples(fixtures.pairs(spark, sf), (2, 4))
+
+
+@query(sql("SELECT pair_id, ordinal FROM (SELECT pair_id, ordinal FROM pairs ORDER BY md5(pair_id || '|7'), pair_id LIMIT 20)", "pairs"))
+def T6_fixed_sample(spark, sf):
+    return selection.fixed_sample(fixtures.pairs(spark, sf), 20, 7).select("pair_id", "ordinal")
+
+
+@query(sql("SELECT split, pair_id FROM (SELECT split, pair_id, row_number() OVER (PARTITION BY split ORDER BY ordinal) AS n FROM pairs) WHERE n <= 7", "pairs"))
+def T7_cap_per_split(spark, sf):
+    return selection.cap_per_group(fixtures.pairs(spark, sf), "split", 7).select("split", "pair_id")
+
+
+@query(
+    _bucket_sql(32).replace(
+        "SELECT pair_id, selection_bucket, selection_bucket_rank, selection_bucket_quota, selection_score, row_number() OVER (ORDER BY turn, selection_bucket_rank)::INT AS selection_rank FROM",
+        "SELECT selection_bucket AS bucket, 8 AS quota, 0.25::DOUBLE AS ratio, count(*) AS n_selected FROM",
+    )
+    + " GROUP BY selection_bucket"
+)
+def A16_manifest_counters(spark, sf):
+    train = with_bucket_scores(fixtures.featured(spark, sf).filter("split = 'train'"))
+    return selection.manifest_counters(selection.bucketed(train, 32), 32)
+
+
+@query(sql("SELECT count_if(label) AS match, count_if(NOT label) AS non_match FROM (SELECT label FROM features WHERE split = 'train' ORDER BY active_hybrid_score DESC, pair_id LIMIT 32)", "features"))
+def A3_label_audit(spark, sf):
+    train = fixtures.featured(spark, sf).filter("split = 'train'")
+    return selection.label_counts(selection.top_k(train, 32).withColumn("label", F.col("label").cast("int")))
+
+
+# --- cache, labels and targets
+
+
+@query(sql("SELECT split, count(*) AS pairs, count_if(label) AS matches, count_if(NOT label) AS non_matches FROM pairs GROUP BY split", "pairs"))
+def A1_split_statistics(spark, sf):
+    return pairs.split_statistics(fixtures.pairs(spark, sf))
+
+
+@query(sql("SELECT pair_id, ordinal FROM cache WHERE valid AND prompt_version = 'v1' AND teacher_model = 'm1'", "cache"))
+def F1_F3_eligible_rows(spark, sf):
+    return labels.eligible(fixtures.cache(spark, sf), "v1", "m1").select("pair_id", "ordinal")
+
+
+@query(sql("SELECT CASE WHEN valid THEN 'valid' ELSE 'rejected' END AS route, count(*) AS n FROM cache GROUP BY 1", "cache"))
+def F2_U2_routes(spark, sf):
+    good, bad = labels.routed(fixtures.cache(spark, sf))
+    both = good.select(F.lit("valid").alias("route")).unionByName(bad.select(F.lit("rejected").alias("route")))
+    return both.groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query(
+    sql(
+        "WITH b AS (SELECT ordinal, CASE WHEN ordinal % 11 = 0 THEN '' ELSE pair_id END AS pair_id, CASE WHEN ordinal % 13 = 0 THEN 0 ELSE selection_rank END AS selection_rank, CASE WHEN ordinal % 17 = 0 THEN -1 ELSE input_tokens END AS input_tokens, valid, label, CASE WHEN ordinal % 19 = 0 THEN NOT valid ELSE valid END AS told, CASE WHEN ordinal % 23 = 0 THEN 'odd' ELSE mode END AS mode FROM cache) "
+        "SELECT ordinal, array_to_string(list_filter([CASE WHEN pair_id = '' THEN 'pair_id_missing' END, CASE WHEN selection_rank < 1 THEN 'selection_rank_below_1' END, CASE WHEN input_tokens < 0 THEN 'input_tokens_negative' END, CASE WHEN mode = 'odd' THEN 'mode_unknown' END, CASE WHEN told AND label IS NULL THEN 'valid_without_label' END, CASE WHEN NOT told AND label IS NOT NULL THEN 'label_without_valid' END], lambda x: x IS NOT NULL), ',') AS violations FROM b",
+        "cache",
+    )
+)
+def F4_S10_violations(spark, sf):
+    from pairloom.schemas import with_violations
+
+    o = F.col("ordinal")
+    broken = fixtures.cache(spark, sf).withColumns(
+        {
+            "pair_id": F.when(o % 11 == 0, "").otherwise(F.col("pair_id")),
+            "selection_rank": F.when(o % 13 == 0, 0).otherwise(F.col("selection_rank")),
+            "input_tokens": F.when(o % 17 == 0, -1).otherwise(F.col("input_tokens")),
+            "valid": F.when(o % 19 == 0, ~F.col("valid")).otherwise(F.col("valid")),
+            "mode": F.when(o % 23 == 0, "odd").otherwise(F.col("mode")),
+        }
+    )
+    return with_violations(broken).select("ordinal", F.array_join("violations", ",").alias("violations"))
+
+
+@query(sql("SELECT p.pair_id, p.ordinal FROM pairs p ANTI JOIN (SELECT pair_id FROM cache WHERE valid AND prompt_version = 'v1' AND teacher_model = 'm1') c USING (pair_id)", "pairs", "cache"))
+def J2_resume_anti_join(spark, sf):
+    return labels.to_label(fixtures.pairs(spark, sf), labels.eligible(fixtures.cache(spark, sf), "v1", "m1")).select("pair_id", "ordinal")
+
+
+@query(sql("SELECT arg_max(raw_answer, ordinal) AS raw_answer, max(ordinal) AS ordinal, pair_id FROM cache SEMI JOIN (SELECT pair_id FROM pairs WHERE ordinal % 2 = 0) USING (pair_id) WHERE prompt_version = 'v1' AND teacher_model = 'm1' GROUP BY pair_id", "cache", "pairs"))
+def J3_W3_latest_rows(spark, sf):
+    direct = fixtures.cache(spark, sf).withColumn("mode", F.lit("direct_prediction"))
+    return labels.latest_direct(direct, fixtures.pairs(spark, sf).filter("ordinal % 2 = 0"), "v1", "m1").select("raw_answer", "ordinal", "pair_id")
+
+
+_ONE_LABEL = "SELECT * FROM cache WHERE ordinal % 10 = 0 AND valid"
+
+
+def _one_label(spark, sf):
+    return fixtures.cache(spark, sf).filter("ordinal % 10 = 0")
+
+
+@query(
+    sql(
+        f"WITH t AS ({_ONE_LABEL}) SELECT p.pair_id, p.split, 'llm_random' AS variant, md5(input_text) AS text_md5, CASE WHEN t.label = 'match' THEN 'match' ELSE 'non-match' END AS target_text, t.label, t.gold_label, t.selection_strategy, t.selection_rank, t.selection_score, t.estimated_cost_usd, t.teacher_model FROM texts p JOIN t USING (pair_id)",
+        "texts",
+        "cache",
+    )
+)
+def J1_teacher_targets(spark, sf):
+    doubled = fixtures.rows(spark, sf)
+    later = doubled.filter("ordinal % 19 = 0").withColumns({"ordinal": F.col("ordinal") + 10**13, "input_text": F.lit("later")})
+    out = labels.teacher_targets(doubled.unionByName(later), _one_label(spark, sf), "llm_random")
+    return out.select("pair_id", "split", "variant", F.md5("input_text").alias("text_md5"), "target_text", "label", "gold_label", "selection_strategy", "selection_rank", "selection_score", "estimated_cost_usd", "teacher_model")
+
+
+@query(sql("SELECT pair_id, split, 'gold_random' AS variant, md5(input_text) AS text_md5, CASE WHEN label THEN 'match' ELSE 'non-match' END AS target_text, label::INT::VARCHAR AS label, 'gold' AS label_source FROM texts", "texts"))
+def W4_gold_targets(spark, sf):
+    out = labels.gold_targets(fixtures.rows(spark, sf), "gold_random")
+    return out.select("pair_id", "split", "variant", F.md5("input_text").alias("text_md5"), "target_text", "label", "label_source")
+
+
+@query(sql(f"WITH t AS ({_ONE_LABEL}) SELECT count_if(t.pair_id IS NOT NULL) AS written, count_if(t.pair_id IS NULL) AS missing, (SELECT count(*) FROM pairs WHERE ordinal % 19 = 0) AS duplicate_pair_ids, (SELECT count(*) FROM t) AS valid_labels FROM pairs p LEFT JOIN t USING (pair_id)", "pairs", "cache"))
+def A15_target_counters(spark, sf):
+    p = fixtures.pairs(spark, sf).select("pair_id", "ordinal")
+    return labels.target_counters(p.unionByName(p.filter("ordinal % 19 = 0")), _one_label(spark, sf))
+
+
+@query(sql("SELECT (SELECT count(*) FROM pairs) AS seen, (SELECT count(*) FROM pairs SEMI JOIN (SELECT * FROM cache WHERE valid) USING (pair_id)) AS reused, (SELECT count(*) FROM cache WHERE ordinal % 10 = 1) AS generated, (SELECT count(*) FROM cache WHERE ordinal % 10 = 1 AND NOT valid) AS rejected", "pairs", "cache"))
+def A14_run_counters(spark, sf):
+    c = fixtures.cache(spark, sf)
+    return labels.run_counters(fixtures.pairs(spark, sf), c.filter("valid"), c.filter("ordinal % 10 = 1"))
+
+
+@query(
+    sql(
+        "SELECT count(*) AS rows, count_if(valid) AS valid_count, count_if(NOT valid) AS invalid_count, sum(input_tokens)::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens, sum(estimated_cost_usd) AS estimated_total_cost_usd, count_if(NOT valid) / count(*)::DOUBLE AS invalid_rate, sum(estimated_cost_usd) / count_if(valid) AS estimated_cost_per_valid_label_usd FROM cache",
+        "cache",
+    )
+)
+def A2_cache_totals(spark, sf):
+    return summary.cache_totals(fixtures.cache(spark, sf))
+
+
+@query(
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS field, {n}::VARCHAR AS value, count(*) AS n FROM cache WHERE {'valid AND ' if n == 'label' else ''}{n} IS NOT NULL GROUP BY 2" for n in (*summary.DISTRIBUTIONS, *summary.DISTINCT)
+        ),
+        "cache",
+    )
+)
+def A2_distributions(spark, sf):
+    return summary.distributions(fixtures.cache(spark, sf))
+
+
+@query(sql("SELECT pair_id, count(*) - 1 AS extra_rows FROM cache GROUP BY pair_id HAVING count(*) > 1", "cache"))
+def A2_T8_T9_duplicates(spark, sf):
+    return summary.duplicate_pairs(fixtures.cache(spark, sf))
+
+
+# --- metrics
+
+
+def _f1(tp: str, fp: str, fn: str) -> tuple[str, str, str]:
+    p = f"CASE WHEN {tp} + {fp} = 0 THEN 0.0 ELSE {tp} / ({tp} + {fp})::DOUBLE END"
+    r = f"CASE WHEN {tp} + {fn} = 0 THEN 0.0 ELSE {tp} / ({tp} + {fn})::DOUBLE END"
+    return p, r, f"CASE WHEN ({p}) + ({r}) = 0 THEN 0.0 ELSE 2 * ({p}) * ({r}) / (({p}) + ({r})) END"
+
+
+def _metrics_sql() -> str:
+    same, other = _f1("tp", "fp", "fn"), _f1("tn", "fn", "fp")
+    names = ("precision", "recall", "f1")
+    cols = [f"({v}) AS {side}_{n}" for side, vs in (("same", same), ("different", other)) for n, v in zip(names, vs)]
+    cols += [f"(({a}) + ({b})) / 2 AS macro_{n}" for n, a, b in zip(names, same, other)]
+    return ", ".join(cols) + ", CASE WHEN tp + fp + tn + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + fp + tn + fn)::DOUBLE END AS accuracy, tp, fp, tn, fn"
+
+
+def _cells(p: str, y: str) -> str:
+    return f"count_if({p} AND {y}) AS tp, count_if({p} AND NOT {y}) AS fp, count_if(NOT {p} AND NOT {y}) AS tn, count_if(NOT {p} AND {y}) AS fn"
+
+
+@query(sql(f"WITH c AS (SELECT split, {_cells('coalesce(prediction = 1, false)', 'label')}, count(*) AS total_predictions, count(prediction) AS valid_predictions FROM predictions GROUP BY split) SELECT split, {_metrics_sql()}, total_predictions, valid_predictions, total_predictions - valid_predictions AS invalid_predictions, (total_predictions - valid_predictions) / total_predictions::DOUBLE AS invalid_output_rate FROM c", "predictions"))
+def A4_A5_prediction_metrics(spark, sf):
+    return metrics.prediction_metrics(fixtures.predictions(spark, sf), ["split"])
+
+
+@query(sql(f"WITH c AS (SELECT teacher_model, {_cells(chr(40) + 'label = ' + chr(39) + 'match' + chr(39) + chr(41), chr(40) + 'gold_label = ' + chr(39) + 'match' + chr(39) + chr(41))} FROM cache WHERE valid GROUP BY teacher_model) SELECT teacher_model, {_metrics_sql()} FROM c", "cache"))
+def A6_direct_metrics(spark, sf):
+    return metrics.direct_metrics(fixtures.cache(spark, sf), ["teacher_model"])
+
+
+@query(
+    sql(
+        f"WITH v AS (SELECT match_probability AS p, label AS y FROM predictions WHERE split = 'validation'), u AS (SELECT DISTINCT p FROM v), "
+        f"t AS (SELECT p AS t FROM u UNION SELECT (p + lead(p) OVER (ORDER BY p)) / 2.0::DOUBLE FROM u UNION SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[])), "
+        f"k AS (SELECT p, count_if(y) AS pos, count_if(NOT y) AS neg FROM v GROUP BY p), "
+        f"c AS (SELECT t, sum(CASE WHEN p >= t THEN pos ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN p >= t THEN neg ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN p < t THEN neg ELSE 0 END)::BIGINT AS tn, sum(CASE WHEN p < t THEN pos ELSE 0 END)::BIGINT AS fn FROM t, k WHERE t IS NOT NULL GROUP BY t), "
+        f"m AS (SELECT t AS decision_threshold, {_metrics_sql()} FROM c) SELECT * FROM m ORDER BY macro_f1 DESC, same_f1 DESC, accuracy DESC, abs(decision_threshold - 0.5), decision_threshold LIMIT 1",
+        "predictions",
+    )
+)
+def A10_U8_best_threshold(spark, sf):
+    return metrics.best_threshold(fixtures.predictions(spark, sf).filter("split = 'validation'").select("match_probability", "label"))
+
+
+@query("SELECT l_returnflag AS run, sum((l_linenumber / 8.0::DOUBLE) * l_quantity) / sum(l_quantity) AS validation_loss, avg(l_linenumber / 8.0::DOUBLE) AS mean_loss FROM lineitem GROUP BY 1")
+def A11_A12_losses(spark, sf):
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_returnflag").alias("run"), (F.col("l_linenumber") / 8.0).alias("loss"), F.col("l_quantity").alias("label_tokens"))
+    return metrics.weighted_loss(items, ["run"])
+
+
+_EPOCHS = "SELECT p_partkey AS epoch, (p_partkey * 37 % 11) / 16.0{d} AS macro_f1, (p_partkey * 53 % 7) / 8.0{d} AS same_f1 FROM {t} WHERE p_partkey <= 40"
+
+
+@query(
+    f"WITH e AS ({_EPOCHS.format(d='::DOUBLE', t='part')}), k AS (SELECT *, macro_f1 * 1000 + same_f1 AS key FROM e), "
+    "i AS (SELECT *, coalesce(key > max(key) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM k), "
+    "w AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS waited FROM i), s AS (SELECT min(epoch) AS last FROM w WHERE waited >= 5) "
+    "SELECT epoch, macro_f1, same_f1, improved, waited, coalesce(epoch = last, false) AS stopped FROM w, s WHERE last IS NULL OR epoch <= last"
+)
+def W5_early_stop(spark, sf):
+    epochs = spark.sql(_EPOCHS.format(d="D", t="{t}"), t=spark.read.parquet(f"{sf}/part.parquet"))
+    return metrics.early_stop(epochs, 5)
+
+
+@query("SELECT p_partkey AS step, floor((row_number() OVER (ORDER BY p_partkey) - 1) / 7)::BIGINT AS \"group\", count(*) OVER (PARTITION BY floor(p_partkey / 7)) AS group_rows FROM part WHERE p_partkey <= 100")
+def W6_accumulation_groups(spark, sf):
+    steps = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey <= 100").select(F.col("p_partkey").alias("step"))
+    return labels.accumulation_groups(steps, 7)
+
+
+@query(
+    sql(
+        "WITH n AS (SELECT pair_id, len(string_split(input_text, ' ')) AS n FROM texts), o AS (SELECT pair_id FROM n WHERE n > 38 ORDER BY pair_id LIMIT 20) "
+        "SELECT count(*) AS rows, max(n)::INT AS max_tokens, count_if(n > 38) AS overflow, (SELECT string_agg(pair_id, ',' ORDER BY pair_id) FROM o) AS examples FROM n",
+        "texts",
+    )
+)
+def A9_F7_token_audit(spark, sf):
+    audited = metrics.token_audit(fixtures.rows(spark, sf), F.size(F.split("input_text", " ")), 38)
+    return audited.withColumn("examples", F.nullif(F.array_join("examples", ","), F.lit("")))
+
+
+# --- runs, deltas and costs
+
+_RUNS = "SELECT concat(CASE o_custkey % 4 WHEN 0 THEN 'gold_random' WHEN 1 THEN 'llm_random' WHEN 2 THEN 'llm_active_bucketed_v1' ELSE 'other' END, '_student') AS variant, count(*) AS n, sum(CAST(o_orderkey % 97 AS BIGINT)) AS a, sum(CAST(o_orderkey % 89 AS BIGINT)) AS b FROM {t} GROUP BY 1"
+_STUDENTS = f"WITH r AS ({_RUNS.format(t='orders')}), s AS (SELECT variant, (a % 64) / 64.0::DOUBLE AS same_f1, CASE WHEN variant = 'other_student' THEN NULL ELSE (b % 128) / 128.0::DOUBLE END AS macro_f1, (n % 32) / 32.0::DOUBLE AS accuracy, (a % 1000) + 0.5::DOUBLE AS training_wall_seconds, (b % 16 + 1) / 256.0::DOUBLE AS per_pair, (n % 8) / 64.0::DOUBLE AS teacher FROM r), d AS (SELECT 'direct_llm_matcher' AS variant, 0.875::DOUBLE AS same_f1, 0.9375::DOUBLE AS macro_f1, 0.96875::DOUBLE AS accuracy)"
+
+
+def _students(spark, sf):
+    r = spark.sql(_RUNS, t=spark.read.parquet(f"{sf}/orders.parquet"))
+    c = F.col
+    return r.select(
+        "variant",
+        ((c("a") % 64) / 64.0).alias("same_f1"),
+        F.when(c("variant") != "other_student", (c("b") % 128) / 128.0).alias("macro_f1"),
+        ((c("n") % 32) / 32.0).alias("accuracy"),
+        ((c("a") % 1000) + 0.5).alias("training_wall_seconds"),
+        ((c("b") % 16 + 1) / 256.0).alias("student_inference_seconds_per_pair"),
+        ((c("n") % 8) / 64.0).alias("teacher_label_cost_usd"),
+        F.lit("wall").alias("training_time_scope"),
+    )
+
+
+def _direct(spark):
+    return _lit_rows(spark, "variant string, same_f1 double, macro_f1 double, accuracy double", [("direct_llm_matcher", 0.875, 0.9375, 0.96875)])
+
+
+def _delta_sql() -> str:
+    cols = [
+        f"CASE WHEN u.variant LIKE '%\\_student' ESCAPE '\\' THEN u.{m} - (SELECT max({m}) FROM u WHERE variant = '{v}') END AS {m}_delta_vs_{k}" for k, v in cost.REFERENCES.items() for m in cost.COMPARED
+    ]
+    return f"{_STUDENTS}, u AS (SELECT variant, same_f1, macro_f1, accuracy FROM s UNION ALL SELECT * FROM d) SELECT variant, same_f1, macro_f1, accuracy, {', '.join(cols)} FROM u"
+
+
+@query(_delta_sql())
+def J4_U3_F6_deltas(spark, sf):
+    runs = cost.union_runs(_students(spark, sf), _direct(spark)).select("variant", "same_f1", "macro_f1", "accuracy")
+    return cost.with_deltas(runs)
+
+
+@query(
+    f"{_STUDENTS}, p AS (SELECT * FROM (VALUES ('low', 'USD', 0.25::DOUBLE), ('mid', 'USD', 1.0), ('high', 'USD', 4.0)) AS t(scenario, currency, rate)), "
+    "x AS (SELECT *, training_wall_seconds / 3600.0::DOUBLE AS th, per_pair / 3600.0::DOUBLE AS ih, 0.75::DOUBLE / 2500 AS each FROM s, p), "
+    "y AS (SELECT *, th * rate AS train, ih * rate AS infer, teacher + th * rate AS upfront FROM x) "
+    "SELECT scenario, currency, rate AS usd_per_gpu_hour, variant, teacher AS teacher_label_cost_usd, 'wall' AS training_time_scope, th AS training_gpu_hours, train AS training_cost_usd, ih AS student_inference_gpu_hours_per_pair, infer AS student_inference_cost_per_pair_usd, upfront AS student_upfront_cost_usd, each AS direct_llm_cost_per_pair_usd, CASE WHEN each - infer > 0 THEN ceil(upfront / (each - infer))::BIGINT END AS break_even_queries, 2500::BIGINT AS comparison_pairs, upfront + 2500 * infer AS student_total_cost_at_comparison_scale_usd, 0.75::DOUBLE AS direct_llm_total_cost_at_comparison_scale_usd, 0.75::DOUBLE - (upfront + 2500 * infer) AS savings_at_comparison_scale_usd FROM y"
+)
+def J5_M20_A17_F11_cost_scenarios(spark, sf):
+    scenarios = _lit_rows(spark, "scenario string, currency string, usd_per_gpu_hour double", [("low", "USD", 0.25), ("mid", "USD", 1.0), ("high", "USD", 4.0)])
+    return cost.cost_scenarios(_students(spark, sf), scenarios, _lit_rows(spark, "total_cost_usd double, evaluated_pairs long", [(0.75, 2500)]))
+
+
+@query(
+    "WITH v AS (SELECT n_name AS variant, n_nationkey AS k FROM nation) SELECT variant, array_to_string(list_filter([CASE WHEN k >= 20 THEN 'current_contract:' || variant END, CASE WHEN k < 20 AND k % 2 = 1 THEN 'targets' END, CASE WHEN k < 20 AND k % 3 = 1 THEN 'metrics' END, CASE WHEN k < 20 AND k % 5 = 1 THEN 'training' END], lambda x: x IS NOT NULL), ',') AS missing FROM v"
+)
+def J9_J12_F5_R5_assembly(spark, sf):
+    v = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("variant"), F.col("n_nationkey").alias("k"))
+    included = [r.variant for r in v.filter("k < 20").collect()]
+    out = cost.assembled(v, v.filter("k % 2 <> 1").select("variant", F.lit(128).alias("n_targets")), v.filter("k % 3 <> 1").select("variant", F.lit(0.5).alias("f1")), v.filter("k % 5 <> 1").select("variant", F.lit(1.0).alias("seconds")), included)
+    return out.select("variant", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT n_name AS variant, 'model_name' AS field, 'm' || n_regionkey AS expected, 'm' || (n_regionkey + 1) AS observed FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT n_name, 'architecture', 'seq2seq', 'other' FROM nation WHERE n_nationkey % 6 = 0")
+def J10_identity_mismatches(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    key = F.col("n_nationkey")
+    name = lambda more: F.concat(F.lit("m"), (F.col("n_regionkey") + more).cast("string"))
+    training = n.select(F.col("n_name").alias("variant"), F.lit("s").alias("student_id"), name(F.lit(0)).alias("model_name"), F.lit("seq2seq").alias("architecture"))
+    seen = n.select(
+        F.col("n_name").alias("variant"),
+        F.when(key % 2 == 0, "s").alias("student_id"),
+        name(F.when(key % 4 == 0, 1).otherwise(0)).alias("model_name"),
+        F.when(key % 6 == 0, "other").otherwise("seq2seq").alias("architecture"),
+    )
+    return cost.identity_mismatches(training, seen)
+
+
+@query("SELECT count(DISTINCT (n_regionkey % 2, n_regionkey % 3)) AS n_models FROM nation")
+def A7_A13_distinct_models(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    summary.single_value(n.withColumn("one", F.lit("same")), "one")
+    return cost.distinct_models(n.select(F.lit("s").alias("student_id"), (F.col("n_regionkey") % 2).alias("student_model_name"), (F.col("n_regionkey") % 3).alias("student_architecture")))
+
+
+@query(sql("SELECT 'llm_teacher' AS label_source, sum(estimated_cost_usd) AS teacher_label_cost_usd, count(*) AS n_targets FROM cache WHERE valid UNION ALL SELECT 'gold', 0.0, count(*) FROM pairs", "cache", "pairs"))
+def A8_teacher_cost(spark, sf):
+    c = fixtures.cache(spark, sf).filter("valid").select("pair_id", F.lit("llm_teacher").alias("label_source"), "estimated_cost_usd")
+    g = fixtures.pairs(spark, sf).select("pair_id", F.lit("gold").alias("label_source"), F.lit(None).cast("double").alias("estimated_cost_usd"))
+    return summary.teacher_cost(c.unionByName(g))
+
+
+# --- contracts and manifests
+
+
+@query("WITH e AS (SELECT p_partkey::VARCHAR AS key, p_name AS value FROM part WHERE p_partkey % 5 <> 0), f AS (SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 7 = 0 THEN 'changed' WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS value FROM part WHERE p_partkey % 3 <> 0) SELECT 'fields' AS section, key, e.value AS expected, f.value AS found FROM e FULL JOIN f USING (key) WHERE e.value IS DISTINCT FROM f.value AND key <> '7'")
+def J6_J11_U4_U7_contract_diff(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    k = F.col("p_partkey")
+    e = part.filter(k % 5 != 0).select(F.lit("fields").alias("section"), k.cast("string").alias("key"), F.col("p_name").alias("value"))
+    f = part.filter(k % 3 != 0).select(F.lit("fields").alias("section"), k.cast("string").alias("key"), F.when(k % 7 == 0, "changed").when(k % 11 != 0, F.col("p_name")).alias("value"))
+    return contracts.difference(e, f, ignore=["7"])
+
+
+@query(
+    "WITH m AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN '/abs/' WHEN p_partkey % 17 = 0 THEN 'a/../' ELSE 'f/' END || p_partkey AS path, p_size AS s, md5(p_name) AS h FROM part WHERE p_partkey % 5 <> 0), "
+    "a AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN '/abs/' WHEN p_partkey % 17 = 0 THEN 'a/../' ELSE 'f/' END || p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS s, CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE md5(p_name) END AS h FROM part WHERE p_partkey % 3 <> 0), "
+    "j AS (SELECT path, m.s AS ms, m.h AS mh, a.s AS s, a.h AS h FROM m FULL JOIN a USING (path)) "
+    "SELECT path, unnest(list_filter([CASE WHEN mh IS NOT NULL AND substr(path, 1, 2) <> 'f/' THEN 'unsafe' END, CASE WHEN h IS NULL THEN 'missing' END, CASE WHEN mh IS NULL THEN 'untracked' END, CASE WHEN ms <> s THEN 'size' END, CASE WHEN mh <> h THEN 'sha256' END], lambda x: x IS NOT NULL)) AS problem FROM j"
+)
+def J7_manifest_check(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 13 == 0, "/abs/").when(k % 17 == 0, "a/../").otherwise("f/"), k.cast("string")).alias("path")
+    m = part.filter(k % 5 != 0).select(path, F.col("p_size").alias("size_bytes"), F.md5("p_name").alias("sha256"))
+    a = part.filter(k % 3 != 0).select(path, F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size_bytes"), F.when(k % 11 == 0, "x").otherwise(F.md5("p_name")).alias("sha256"))
+    return contracts.manifest_check(m, a)
+
+
+# --- failure analysis
+
+
+def _joined(spark, sf):
+    p = fixtures.predictions(spark, sf)
+    gold = p.select("pair_id", F.col("label").alias("match"))
+    teacher = _one_label(spark, sf).filter("valid").select("pair_id", (F.col("label") == "match").alias("match"))
+    student = p.filter("prediction IS NOT NULL").select("pair_id", (F.col("prediction") == 1).alias("match"))
+    direct = p.filter("ordinal % 3 <> 0").select("pair_id", (F.col("match_probability") >= 0.25).alias("match"))
+    return summary.error_join(gold, teacher, direct, student)
+
+
+_JOINED = f"WITH t AS ({_ONE_LABEL}), j AS (SELECT p.pair_id, p.label AS gold, t.label = 'match' AS teacher, CASE WHEN p.ordinal % 3 <> 0 THEN match_probability >= 0.25 END AS direct, prediction = 1 AS student FROM predictions p LEFT JOIN t USING (pair_id))"
+
+
+@query(sql(f"{_JOINED} SELECT * FROM j", "predictions", "cache"))
+def N1_error_join(spark, sf):
+    return _joined(spark, sf)
+
+
+@query(sql(f"{_JOINED} SELECT CASE WHEN teacher = gold AND student = teacher THEN 'both_right' WHEN teacher = gold THEN 'student_fails' WHEN student = teacher THEN 'follows_noise' ELSE 'corrects_noise' END AS outcome, count(*) AS n FROM j WHERE teacher IS NOT NULL AND student IS NOT NULL GROUP BY 1", "predictions", "cache"))
+def N6_noise_inheritance(spark, sf):
+    return summary.noise_inheritance(_joined(spark, sf))
+
+
+@query(sql(f"WITH c AS (SELECT split, {_cells(chr(40) + 'prediction = 1' + chr(41), 'label')} FROM predictions WHERE prediction IS NOT NULL GROUP BY split), m AS (SELECT split, {_metrics_sql()} FROM c) SELECT split, tp, fp, tn, fn, same_f1, macro_f1, accuracy FROM m", "predictions"))
+def N2_confusion(spark, sf):
+    p = fixtures.predictions(spark, sf).filter("prediction IS NOT NULL").withColumn("predicted", F.col("prediction") == 1)
+    return summary.confusion_by(p, ["split"])
+
+
+@query(sql("SELECT split, count(*) AS n, avg(label::INT::DOUBLE) AS match_share, avg(missing_key_fields) AS mean_missing, avg((missing_key_fields > 0)::INT) AS missing_rate FROM features GROUP BY split", "features"))
+def N3_composition(spark, sf):
+    return summary.composition(fixtures.featured(spark, sf).withColumn("label", F.col("label").cast("int")), "split")
+
+
+@query(sql("SELECT selection_strategy, count(*) AS n, avg((label <> gold_label)::INT) AS disagreement_rate FROM cache WHERE valid GROUP BY 1", "cache"))
+def N4_disagreement(spark, sf):
+    return summary.disagreement(fixtures.cache(spark, sf).filter("valid"), "selection_strategy")
+
+
+def _judged(spark, sf):
+    told = fixtures.predictions(spark, sf).filter("prediction IS NOT NULL").select("pair_id", (F.col("prediction") == 1).alias("predicted"))
+    return fixtures.featured(spark, sf).join(told, "pair_id")
+
+
+_JUDGED = "WITH x AS (SELECT f.*, p.prediction = 1 AS predicted FROM features f JOIN predictions p USING (pair_id) WHERE prediction IS NOT NULL)"
+
+
+@query(
+    sql(
+        f"{_JUDGED}, w AS (SELECT CASE WHEN predicted THEN 'false_match' ELSE 'false_non_match' END AS kind, list_filter([CASE WHEN brand_conflict > 0 THEN 'brand_conflict' END, CASE WHEN model_conflict > 0 THEN 'model_conflict' END, CASE WHEN currency_conflict > 0 THEN 'currency_conflict' END, CASE WHEN price_ratio_gap > 0.2 THEN 'price_gap' END, CASE WHEN missing_key_fields > 0 THEN 'missing_fields' END, CASE WHEN title_similarity >= 0.8 THEN 'similar_titles' END, CASE WHEN title_similarity < 0.2 THEN 'distant_titles' END], lambda x: x IS NOT NULL) AS hits FROM x WHERE predicted <> label) "
+        "SELECT category, kind, count(*) AS n FROM (SELECT kind, unnest(CASE WHEN len(hits) > 0 THEN hits ELSE ['other'] END) AS category FROM w) GROUP BY 1, 2",
+        "features",
+        "predictions",
+    )
+)
+def N5_error_categories(spark, sf):
+    return summary.error_categories(_judged(spark, sf))
+
+
+@query(sql(f"{_JUDGED}, s AS (SELECT unnest(list_filter([CASE WHEN brand_agreement = 1 THEN 'same_brand' END, CASE WHEN missing_key_fields > 0 THEN 'missing' END, CASE WHEN hard_negative_hint = 1 THEN 'hard' END], lambda x: x IS NOT NULL)) AS slice, (predicted <> label)::INT AS wrong FROM x) SELECT slice, count(*) AS n, sum(wrong)::BIGINT AS errors, avg(wrong) AS error_rate FROM s GROUP BY slice", "features", "predictions"))
+def N7_slices(spark, sf):
+    c = F.col
+    return summary.slices(_judged(spark, sf), {"same_brand": c("brand_agreement") == 1, "missing": c("missing_key_fields") > 0, "hard": c("hard_negative_hint") == 1})
+
+
+@query(sql("SELECT pair_id, selection_score, row_number() OVER (ORDER BY selection_score DESC, pair_id)::INT AS selection_rank FROM (SELECT pair_id, 1.0::DOUBLE - abs(match_probability - 0.5::DOUBLE) AS selection_score FROM predictions WHERE split = 'train' ORDER BY 2 DESC, 1 LIMIT 32)", "predictions"))
+def N8_uncertainty(spark, sf):
+    p = fixtures.predictions(spark, sf).filter("split = 'train'").withColumn("unsure", 1.0 - F.abs(F.col("match_probability") - 0.5))
+    return selection.top_k(p, 32, "unsure", "uncertainty").select("pair_id", "selection_score", "selection_rank")
+
+
+@query(sql("SELECT pair_id, selection_score, row_number() OVER (ORDER BY selection_score DESC, pair_id)::INT AS selection_rank FROM (SELECT pair_id, score_hard_negative AS selection_score FROM scored WHERE split = 'train' ORDER BY 2 DESC, 1 LIMIT 32)", "scored"))
+def N8_hard_negative(spark, sf):
+    train = with_bucket_scores(fixtures.featured(spark, sf).filter("split = 'train'"))
+    return selection.top_k(train, 32, "score_hard_negative", "hard_negative").select("pair_id", "selection_score", "selection_rank")
+
+
+@query(None)
+def X1_X3_X4_labelled_by_fake(spark, sf):
+    """A labeller of fixed rules instead of a model: SQL can't express a call."""
+    p = fixtures.rows(spark, sf).withColumn("dataset", F.col("metadata.dataset"))
+    return labels.cache_rows(p, labels.ask(p, fake_labeller), "teacher_label", "v1", "fake").drop("created_at")
+
+
+def fake_labeller(prompt: str) -> labels.Answer:
+    kind = sum(prompt.encode()) % 7
+    if kind == 0:
+        raise TimeoutError("no answer")
+    return labels.Answer(("match", "non_match", "non-match", '"match"', "perhaps", "`match`")[kind - 1], len(prompt) // 4, 2, kind / 1024)
+
+

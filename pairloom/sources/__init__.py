@@ -1 +1 @@
-"""See the module docstrings."""
+"""Readers and writers of files."""
