@@ -88,6 +88,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> DataFrame:
     """Small-star: each vertex and its smaller neighbours point at the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()

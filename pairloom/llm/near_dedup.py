@@ -11,7 +11,8 @@ million, and fewer above.
 A node of at most ``LEAF`` classes is compared exhaustively. A larger one chooses
 a pivot: classes that look at least half like it are tied to it, and those that
 look nearly equal stop there, because whatever they may be linked with is by the
-triangle inequality tied to the pivot too. The others branch on. What the deepest
+triangle inequality tied to the pivot too. The others branch on, until a node has
+only classes that are tied to one pivot. What the deepest
 level leaves is tied to the pivot as well: a tie never decides, it only says that
 two classes must be compared.
 
@@ -126,7 +127,7 @@ def _children(nodes: np.ndarray, sigs: np.ndarray) -> list[np.ndarray]:
 
 
 def _plant(trees: int) -> Callable:
-    """(node, k) of each class in the first level of each tree."""
+    """(node, k, mark) of each class in the first level of each tree; mark: the pivot it is tied to, or itself."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,25 +135,33 @@ def _plant(trees: int) -> Callable:
                 continue
             k, sigs = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
             nodes = [c for t in range(trees) for c in _children(np.full(len(k), 7919 * (t + 1), np.int64), sigs)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(k, len(nodes)))], ["node", "k"])
+            many = pa.array(np.tile(k, len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), many, many], ["node", "k", "mark"])
 
     return rows
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of large nodes, each with its pivot: ties (tie = true) and children."""
+    """Rows of large nodes, each with its pivot: ties (tie = true) and children.
+
+    A child (a: node, b: class) carries the pivot if the class is tied to it. A node
+    whose classes are all tied to one pivot has nothing more to find.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, k, pivot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sigs, pivots = _matrix(batch.column(3)), _matrix(batch.column(4))
+        node, k, mark, pivot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        sigs, pivots = _matrix(batch.column(4)), _matrix(batch.column(5))
         alike = (sigs == pivots).sum(axis=1)
         tied = (alike >= TIED_TO_PIVOT) & (k != pivot)
-        on = alike < LIKE_PIVOT
+        # The pivot has met all classes of this node, and so have, through it, those that look like it.
+        on = (alike < LIKE_PIVOT) & (k != pivot)
+        mark = np.where(tied, pivot, mark)
         kids = _children(node[on], sigs[on])
         a = np.concatenate([k[tied], *kids])
         b = np.concatenate([pivot[tied], k[on], k[on]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a)) < tied.sum()), pa.array(a), pa.array(b)], ["tie", "a", "b"])
+        marks = np.concatenate([k[tied], mark[on], mark[on]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a)) < tied.sum()), pa.array(a), pa.array(b), pa.array(marks)], ["tie", "a", "b", "mark"])
 
 
 def _leaf_ties(percent: int) -> Callable:
@@ -192,9 +201,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def links(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one block, confirmed on the full sets."""
+    """(member, smallest member) of each linked group of a block, confirmed on the full sets."""
     n = np.array([len(s) for s in sets])
-    forest, out = Forest(len(sets)), []
+    forest = Forest(len(sets))
     for i in range(1, len(sets)):
         fits = 100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])
         before = np.flatnonzero(fits)
@@ -205,8 +214,9 @@ def links(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[tuple[
                 both = _common(sets[i], sets[j])
                 if 100 * both >= percent * (n[i] + n[j] - both):
                     forest.join(i, j)
-                    out.append((i, j))
-    return out
+    roots = [forest.root(i) for i in range(len(sets))]
+    grown = {r for i, r in enumerate(roots) if i != r}
+    return [(i, r) for i, r in enumerate(roots) if r in grown]
 
 
 def _confirm(width: int, percent: int) -> Callable:
@@ -241,9 +251,12 @@ def _ties(classes: DataFrame, trees: int, percent: int, leaf: int, depth: int) -
     spark = classes.sparkSession
     sigs = classes.select("k", "n", "sig")
     ties = spark.createDataFrame([], "a long, b long")
-    rows = written(sigs.select("k", "sig").mapInArrow(_plant(trees), "node long, k long"), "nodes")
+    rows = written(sigs.select("k", "sig").mapInArrow(_plant(trees), "node long, k long, mark long"), "nodes")
     for level in range(depth):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("pivot")).filter("size > 1")
+        # The pivot is a class that is not tied yet, if there is one.
+        free = F.when(F.col("mark") == F.col("k"), F.col("k"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.coalesce(F.min(free), F.min("k")).alias("pivot"), F.min("mark").alias("m0"), F.max("mark").alias("m1"))
+        sizes = sizes.filter("size > 1 AND m0 <> m1").drop("m0", "m1")
         sized = written(rows.join(sizes, "node"), "sized")
         small = sized.filter(F.col("size") <= leaf).join(sigs, "k").select("node", "k", "n", "sig")
         ties = ties.unionByName(written(small.repartition("node").sortWithinPartitions("node", "k").mapInArrow(_leaf_ties(percent), "a long, b long"), "ties"))
@@ -253,10 +266,10 @@ def _ties(classes: DataFrame, trees: int, percent: int, leaf: int, depth: int) -
         if level == depth - 1:
             return ties.unionByName(large.filter("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")))
         pivots = large.select("pivot").distinct().join(sigs.select(F.col("k").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        met = large.select("node", "k", "pivot").join(sigs.select("k", "sig"), "k").join(pivots, "pivot").select("node", "k", "pivot", "sig", "pivot_sig")
-        out = written(met.mapInArrow(_branch, "tie boolean, a long, b long"), "branches")
+        met = large.select("node", "k", "mark", "pivot").join(sigs.select("k", "sig"), "k").join(pivots, "pivot").select("node", "k", "mark", "pivot", "sig", "pivot_sig")
+        out = written(met.mapInArrow(_branch, "tie boolean, a long, b long, mark long"), "branches")
         ties = ties.unionByName(out.filter("tie").select("a", "b"))
-        rows = out.filter("NOT tie").select(F.col("a").alias("node"), F.col("b").alias("k")).distinct()
+        rows = out.filter("NOT tie").select(F.col("a").alias("node"), F.col("b").alias("k"), "mark").distinct()
     return ties
 
 
@@ -287,14 +300,16 @@ def near_duplicates(
     groups = components(_ties(classes, trees, percent, leaf, depth))
     members = classes.join(groups, "k")
     per = members.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-    per = per.select("c", F.ceil(F.greatest(F.col("size") / block_classes, F.col("weight") / block_shingles)).cast("long").alias("blocks"))
+    per = written(per.select("c", F.ceil(F.greatest(F.col("size") / block_classes, F.col("weight") / block_shingles)).cast("long").alias("blocks")), "blocks")
     # One block: all of a component in a task. More: a task for each pair of blocks, each class in all pairs of its own.
     mine = F.pmod(F.xxhash64("k"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("p"), F.greatest(o, mine).alias("q")))
     dealt = members.join(per, "c").withColumn("pair", F.explode(pairs)).select(F.xxhash64("c", "pair.p", "pair.q").alias("block"), "k", "first", "print", "sig")
     texts = slim.withColumnRenamed("id", "first").join(dealt, "first")
     linked = texts.select("block", "k", "print", "sig", "text").repartition("block").sortWithinPartitions("block", "k")
-    joined = components(written(linked.mapInArrow(_confirm(width, percent), "a long, b long"), "links"))
+    joined = written(linked.mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+    # What one task has seen whole is done; only groups of several blocks are still to be put together.
+    joined = joined.select(F.col("a").alias("k"), F.col("b").alias("c")) if per.filter("blocks > 1").isEmpty() else components(joined)
 
     named = joined.join(classes.select("k", "first"), "k")
     roots = named.join(named.groupBy("c").agg(F.min("first").alias("root")), "c").select("k", "root")
