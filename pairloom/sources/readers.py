@@ -42,7 +42,7 @@ def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFram
         total += counts.get(p, 0)
     starts = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]) if before else None
     place = F.lit(0) if starts is None else starts[F.col("p")] + (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33))
-    read = lines.filter(F.trim("value") != "").select(place.cast("long").alias("ordinal"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
+    read = lines.filter(F.regexp_replace("value", r"\s", "") != "").select(place.cast("long").alias("ordinal"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
     return read.select("row.*", "ordinal")
 
 
@@ -77,7 +77,7 @@ def zipped_json_lines(spark: SparkSession, path: str, member: str, schema: str)
                             stream = gzip.open(raw) if name.endswith(".gz") else raw
                             some: list[str] = []
                             for line in stream:
-                                some.append(line.decode())
+                                some.append(line.decode().strip())
                                 if len(some) == 5000:
                                     yield pd.DataFrame({"name": name, "value": some})
                                     some = []
@@ -85,7 +85,7 @@ def zipped_json_lines(spark: SparkSession, path: str, member: str, schema: str)
                                 yield pd.DataFrame({"name": name, "value": some})
 
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "name string, value string")
-    return raw.filter(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+    return raw.filter(F.regexp_replace("value", r"\s", "") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def files_under(spark: SparkSession, root: str) -> list[str]:
