@@ -38,7 +38,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOLS = "#*$%&|<>"
 BITS, LEAST, SPREAD = 6, 200, 6
 #: Rate: slack above and (if any) below the fences.
-SLACK = {"symbols": (60, None), "dup_lines": (250, None), "repeats": (150, None), "length": (150, 150)}
+SLACK = {"symbols": (60, None), "dup_lines": (250, None), "repeats": (200, None), "length": (150, 150)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _IS_BLANK = np.zeros(256, bool)
