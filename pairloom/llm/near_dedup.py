@@ -111,8 +111,16 @@ def _sketched(width: int) -> Callable:
     return compute
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDINATES)
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of one byte for each value: enough to compare with, not to branch by."""
+    for batch in batches:
+        if batch.num_rows:
+            short = (_matrix(batch.column(2)) & 0xFF).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in short], pa.binary())], ["k", "n", "sig"])
 
 
 def _children(nodes: np.ndarray, sigs: np.ndarray) -> list[np.ndarray]:
@@ -167,7 +175,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _leaf_ties(percent: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, "node"):
-            k, n, sigs = table.column("k").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("sig"))
+            k, n, sigs = table.column("k").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("sig"), np.uint8)
             sizes = np.diff(bounds)
             end = np.repeat(bounds[1:], sizes)
             left, right = [], []
@@ -250,6 +258,7 @@ def _ties(classes: DataFrame, trees: int, percent: int, leaf: int, depth: int) -
     """Pairs (a, b) of classes that must be compared; their components hold all links."""
     spark = classes.sparkSession
     sigs = classes.select("k", "n", "sig")
+    short = written(sigs.mapInArrow(_shortened, "k long, n long, sig binary"), "short")
     ties = spark.createDataFrame([], "a long, b long")
     rows = written(sigs.select("k", "sig").mapInArrow(_plant(trees), "node long, k long, mark long"), "nodes")
     for level in range(depth):
@@ -258,7 +267,7 @@ def _ties(classes: DataFrame, trees: int, percent: int, leaf: int, depth: int) -
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.coalesce(F.min(free), F.min("k")).alias("pivot"), F.min("mark").alias("m0"), F.max("mark").alias("m1"))
         sizes = sizes.filter("size > 1 AND m0 <> m1").drop("m0", "m1")
         sized = written(rows.join(sizes, "node"), "sized")
-        small = sized.filter(F.col("size") <= leaf).join(sigs, "k").select("node", "k", "n", "sig")
+        small = sized.filter(F.col("size") <= leaf).join(short, "k").select("node", "k", "n", "sig")
         ties = ties.unionByName(written(small.repartition("node").sortWithinPartitions("node", "k").mapInArrow(_leaf_ties(percent), "a long, b long"), "ties"))
         large = sized.filter(F.col("size") > leaf)
         if large.isEmpty():
