@@ -162,7 +162,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         slim.mapInArrow(_recipe_rows(hash_bits, clash), "doc_id long, recipe binary, text_sha256 string").withColumn("row", F.monotonically_increasing_id()),
         "recipes",
     )
-    groups = recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
+    # Written first: a join of two shuffled sides is one whose hot recipes Spark can split.
+    groups = written(recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")), "groups")
     return recipes.join(groups, "recipe").select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
