@@ -6,9 +6,11 @@ The mask tells by lengths which characters are targets: "18:0,25:1" are 18 that
 not and 25 that are. A target is the assistant's text and its end mark.
 
 A conversation of ordinary size is one row per participant (part 0). One with more
-than ``MOST_TURNS`` turns or ``MOST_CHARS`` characters has a row for each stretch
-of its turns, in the order of ``part``; together they are the whole dialogue. So no
-task gathers a conversation without bound.
+than ``MOST_TURNS`` turns or ``MOST_CHARS`` characters is sorted and rendered in
+stretches of its turns, by many tasks. With ``whole`` the finished stretches of a
+participant are put together to one row (part 0), as at any other size; a task then
+holds one dialogue's text, which must be under 2 GB as any string of Spark. Else
+each stretch is a row, in the order of ``part``.
 
 Defined cases: turns are ordered by turn, role and text, so repeated turn numbers
 and repeated rows all stay. A null turn comes first, a null role is the name "", a
@@ -49,6 +51,12 @@ def _rendered(turns: DataFrame, names: Column, instructions: tuple[str, ...], ke
     )
 
 
+def _put_together(parts: DataFrame) -> DataFrame:
+    """One row per conversation and participant of the finished stretches."""
+    rows = parts.groupBy("conv_id", "perspective").agg(F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("part", "rendered", "mask"))).alias("s"))
+    return rows.select("conv_id", F.lit(0).cast("long").alias("part"), "perspective", "n_turns", F.array_join("s.rendered", "").alias("rendered"), F.array_join("s.mask", ",").alias("mask"))
+
+
 def rotate_perspectives(
     conversations: DataFrame,
     instructions: tuple[str, ...] = INSTRUCTIONS,
@@ -59,8 +67,9 @@ def rotate_perspectives(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    whole: bool = False,
 ) -> DataFrame:
-    """conv_id, part, perspective, n_turns, rendered, mask: a row per participant and part."""
+    """conv_id, part, perspective, n_turns, rendered, mask: a row per participant and part; ``whole``: always one part."""
     turns = conversations.select(
         F.col(id_col).alias("conv_id"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
@@ -96,10 +105,11 @@ def rotate_perspectives(
     parts = placed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("said"))
     names = turns.join(side.select("large_id"), same, "left_semi").groupBy("conv_id").agg(F.collect_set("t.role").alias("roles")).withColumnRenamed("conv_id", "named")
     named = parts.join(names, F.col("conv_id").eqNullSafe(F.col("named")))
-    return rest.unionByName(_rendered(named, speakers(F.col("roles")), instructions, keys))
+    stretches = _rendered(named, speakers(F.col("roles")), instructions, keys)
+    return rest.unionByName(_put_together(stretches) if whole else stretches)
 
 
-#: The same in DuckDB SQL, for conversations of ordinary size.
+#: The same in DuckDB SQL, with ``whole``.
 SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 who AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),

@@ -42,7 +42,7 @@ def op6_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"), whole=True)
 
 
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

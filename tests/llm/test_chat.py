@@ -2,7 +2,7 @@ import random
 
 import duckdb
 
-from pairloom.llm import chat
+from pairloom.llm import chat, queries
 
 
 def brute(rows):
@@ -61,6 +61,25 @@ def test_sql_agrees(spark):
     assert sorted(map(tuple, chat.rotate_perspectives(df).select(names).collect())) == sorted(con.sql(chat.SQL).fetchall())
 
 
+def test_query_equals_sql_on_a_hot_conversation(spark, tmp_path):
+    said = [(9, t, "abc"[t * t % 3], f"turn {t}") for t in range(2600)] + [(c, t, "de"[t % 2], f"{c} {t}") for c in range(20) for t in range(4) if c != 9]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    names = ["conv_id", "part", "perspective", "n_turns", "rendered", "mask"]
+    got = sorted(map(tuple, queries.QUERIES["op7_perspective_rotation"](spark, str(tmp_path)).select(names).collect()))
+    assert got == sorted(con.sql(queries.ORACLE_SQL["op7_perspective_rotation"]).fetchall())
+    assert max(r[3] for r in got) == 2600
+
+
+def test_whole_puts_stretches_together(spark):
+    some = rows() + [(7000, t % 250, "pqr"[t % 3], f"t{t % 5}") for t in range(900)] + [(7002, 1, "k", "w" * 900), (7002, 2, "l", "v" * 900)]
+    got, parts = result(spark, some, most_turns=100, most_chars=1500, stretch=40, whole=True)
+    assert got == brute(some)
+    assert all(len(rs) == 1 and rs[0].part == 0 for rs in parts.values())
+
+
 def test_empty_and_plan(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     out = chat.rotate_perspectives(df)
