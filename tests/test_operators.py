@@ -188,3 +188,13 @@ def test_contracts(spark, tmp_path):
     first = spark.createDataFrame([("fields", "budget", "128"), ("files", "targets", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), ("schema_version", "schema_version", "1")], made.schema)
     assert sorted((r.section, r.key) for r in contracts.difference(first, again).collect()) == [("fields", "budget"), ("files", "targets")]
     assert contracts.difference(first, first).count() == 0
+
+
+def test_accumulation_groups_on_a_whole_table(spark):
+    n = 30_001
+    steps = spark.range(n).select((F.col("id") * 7 % n * 3 + 1).alias("step")).repartition(5)
+    out = labels.accumulation_groups(steps, 7)
+    want = [(3 * i + 1, i // 7, 7 if i // 7 < n // 7 else n % 7) for i in range(n)]
+    assert sorted(map(tuple, out.select("step", "group", "group_rows").collect())) == want
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert labels.accumulation_groups(steps.limit(0), 7).collect() == []
