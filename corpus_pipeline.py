@@ -37,12 +37,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles, the one with the smallest doc_id stays.
+    """Of documents linked by five-word shingles one row stays: the smallest doc_id, of equal ones the first row.
 
-    Rows that repeat a doc_id stay or go together. Rows without one stay.
+    Rows without doc_id come after all others. Documents are told apart by the number
+    of their row in a written table, so null and repeated ids are no exception.
     """
-    gone = near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("c"))
+    ids = numbered.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("order"))
+    members = written(found.join(ids, "__row").select("c", "__row", "order"), "members")
+    stay = members.groupBy("c").agg(F.min("order").alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = members.select("__row").join(stay, "__row", "left_anti")
+    return numbered.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,16 @@ def test_lines_and_copies_go(steps):
     assert rows(steps[4]) == [r for r in rows(steps[3]) if r[0] in stay]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    said = [(None, a), (None, a + " end"), (7, b), (7, b), (7, b + " end"), (None, b), (3, c), (None, c), (None, "alone"), (None, None), (None, None), (9, "other words"), (9, "of one id")]
+    docs = spark.createDataFrame(said, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_stage(spark, docs, SF).collect()
+    groups = sorted((t[:1], i) for i, t in kept if t and len(t) > 20)
+    assert groups == [("a", None), ("b", 7), ("c", 3)]
+    assert sorted(map(str, ((i, t) for i, t in kept if not t or len(t) <= 20))) == sorted(map(str, said[8:]))
+
+
 def test_packed(spark, steps):
     encode = WordEncoder(default_vocabulary()).tokenizer.encode
     got = {}
