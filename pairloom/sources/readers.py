@@ -27,8 +27,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with ``ordinal``, the place in the order of the files.
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank, as ``value``, with ``ordinal``, the place in the order of the files.
 
     A row's place is its file's place and its offset inside: the number of a row
     within its partition plus the rows of the partitions before it. Only counts of
@@ -42,13 +42,20 @@ def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFram
         total += counts.get(p, 0)
     starts = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]) if before else None
     place = F.lit(0) if starts is None else starts[F.col("p")] + (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33))
-    read = lines.filter(F.regexp_replace("value", r"\s", "") != "").select(place.cast("long").alias("ordinal"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
+    return lines.filter(F.regexp_replace("value", r"\s", "") != "").select("value", place.cast("long").alias("ordinal"))
+
+
+def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with ``ordinal``, the place in the order of the files; a bad line is an error."""
+    read = _numbered_lines(spark, path).select("ordinal", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
     return read.select("row.*", "ordinal")
 
 
 def checked_cache(spark: SparkSession, path: str, schema: str, direct: bool = False) -> DataFrame:
-    """Cache lines with ``violations``; a line that is no JSON has "unparsable" and stays as ``_corrupt_record``."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Cache lines with ``ordinal``, from 0 with blank lines counted, and ``violations``; a line that is no JSON has "unparsable" and stays as ``_corrupt_record``."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = _numbered_lines(spark, path).select("ordinal", F.from_json("value", f"{schema}, _corrupt_record STRING", options).alias("row"))
+    rows = read.select("row.*", "ordinal")
     bad = F.when(F.col("_corrupt_record").isNotNull(), F.array(F.lit("unparsable"))).otherwise(cache_violations(direct))
     return rows.withColumn("violations", bad)
 

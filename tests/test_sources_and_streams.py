@@ -122,3 +122,9 @@ def test_usage_by_window(spark, tmp_path):
 
 def test_raw_schema_names_all_columns():
     assert len(RAW_PAIR.split(", ")) == 17
+
+
+def test_bad_cache_lines_have_their_ordinals(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"pair_id": ""}\n\nnot json\n{"pair_id": "x"}\n{"pair_id": \n')
+    rows = readers.checked_cache(spark, str(tmp_path / "bad.jsonl"), CACHE).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.violations == ["unparsable"], r._corrupt_record) for r in rows] == [(0, False, None), (2, True, "not json"), (3, False, None), (4, True, '{"pair_id": ')]
