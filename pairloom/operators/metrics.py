@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.operators.ranges import in_ranges
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
@@ -93,15 +95,29 @@ def early_stop(epochs: DataFrame, patience: int) -> DataFrame:
     """Epochs with best-so-far flags up to the stop. Better: higher (macro_f1, same_f1), one after the other.
 
     ``improved``: better than all before; ``waited``: epochs since; ``stopped``: the run ends here.
+    Windows see one range of epochs; what they carry over from the ranges before is one row a range.
     """
-    w = Window.orderBy("epoch")
+    ranged, _ = in_ranges(epochs, "epoch")
+    spark, w = epochs.sparkSession, Window.partitionBy("range").orderBy("epoch")
     key = F.struct("macro_f1", "same_f1")
-    best = F.max(key).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = epochs.withColumn("improved", best.isNull() | (key > best))
-    last = F.last(F.when(F.col("improved"), F.col("epoch")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("waited", F.col("epoch") - last)
-    ended = F.min(F.when(F.col("waited") >= patience, F.col("epoch"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return out.withColumn("end", ended).filter(F.col("end").isNull() | (F.col("epoch") <= F.col("end"))).withColumn("stopped", F.col("epoch").eqNullSafe(F.col("end"))).drop("end")
+
+    def carried(df: DataFrame, value: Column, kind: str) -> DataFrame:
+        """The greatest value of all ranges before. MOST_RANGES rows at most go to the driver."""
+        tops, best, rows = sorted((r["range"], r["top"]) for r in df.groupBy("range").agg(F.max(value).alias("top")).select("range", F.struct("top").alias("top")).collect()), None, []
+        for r, (top,) in tops:
+            rows.append((r, best))
+            best = top if best is None or (top is not None and top > best) else best
+        return F.broadcast(spark.createDataFrame(rows, f"range int, before {kind}"))
+
+    types = {f.name: f.dataType.simpleString() for f in epochs.schema.fields}
+    before = carried(ranged, key, f"struct<macro_f1: {types['macro_f1']}, same_f1: {types['same_f1']}>")
+    best = F.greatest("before", F.max(key).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    out = ranged.join(before, "range").withColumn("best", best).withColumn("improved", F.col("best").isNull() | (key > F.col("best"))).drop("before", "best")
+    at = F.when(F.col("improved"), F.col("epoch"))
+    last = F.coalesce(F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "before")
+    out = out.join(carried(out, at, types["epoch"]), "range").withColumn("waited", F.col("epoch") - last).drop("before", "range")
+    end = out.filter(F.col("waited") >= patience).agg(F.min("epoch")).first()[0]
+    return (out if end is None else out.filter(F.col("epoch") <= end)).withColumn("stopped", F.col("epoch").eqNullSafe(F.lit(end)))
 
 
 def token_audit(rows: DataFrame, n_tokens: Column, limit: int, examples: int = 20) -> DataFrame:

@@ -198,3 +198,20 @@ def test_accumulation_groups_on_a_whole_table(spark):
     assert sorted(map(tuple, out.select("step", "group", "group_rows").collect())) == want
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
     assert labels.accumulation_groups(steps.limit(0), 7).collect() == []
+
+
+@pytest.mark.parametrize("patience", [5, 20_000])
+def test_early_stop_on_a_whole_table(spark, patience):
+    n = 12_001
+    f1 = [((i * 37 % 11 + i // 3000) / 16, (i * 53 % 7) / 8) for i in range(n)]
+    epochs = spark.createDataFrame([(i, *x) for i, x in enumerate(f1)], "epoch long, macro_f1 double, same_f1 double").repartition(5)
+    out = metrics.early_stop(epochs, patience)
+    want, best, last = [], None, 0
+    for i, x in enumerate(f1):
+        better = best is None or x > best
+        best, last = (x, i) if better else (best, last)
+        want.append((i, better, i - last, i - last >= patience))
+        if i - last >= patience:
+            break
+    assert sorted(map(tuple, out.select("epoch", "improved", "waited", "stopped").collect())) == want
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
