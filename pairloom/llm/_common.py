@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.llm._memo import forget_other_stages, give_back
 from pairloom.llm._words import cuts, plain
 
 SLICE_BYTES = 4 << 20
@@ -24,14 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[col(c) for c in columns])
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many ``_`` before it as it takes to differ from those taken, in any case of letters."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name = "_" + name
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def prefix(taken: list[str]) -> str:
+    """A beginning that no name has: for columns of one's own beside those of others."""
+    some = "__"
+    while any(t.startswith(some) for t in taken):
+        some += "_"
+    return some
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark
+    runs on one machine, as in tests, a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="pairloom-"))
         root = _own_root[0]
@@ -51,13 +83,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_so_far() -> int:
+    return len(_made)
+
+
+def discard(since: int) -> None:
+    """Delete the tables written since ``made_so_far()`` said so, but for the last one."""
+    for entry in _made[since:-1]:
+        _delete(*entry)
+        _made.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _forget() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the cluster clears its own checkpoint folder
             return
 
@@ -71,6 +117,7 @@ def text_map(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
     at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
         compute = make()
         for batch in batches:
             texts = plain(batch.column(at))
@@ -78,6 +125,8 @@ def text_map(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
                 part = batch.slice(start, stop - start)
                 made = [pa.array(c) for c in compute(texts.slice(start, stop - start))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *(f.name for f in fields)])
+        del compute
+        give_back()
 
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *fields]))
 

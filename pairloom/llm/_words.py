@@ -43,16 +43,13 @@ def no_blanks(found: tuple[pa.Array, np.ndarray, np.ndarray]) -> tuple[pa.Array,
     return different, number[full], before[bounds]
 
 
-def strung(values: list[bytes], width: int, number: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[number] end to end, as items of ``width`` bytes, and the texts' bounds in items."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
-    blob = np.frombuffer(b"".join(values), f"<u{width}")
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    each = sizes[number]
-    ends = np.concatenate([[0], np.cumsum(each)])
-    at = np.repeat(starts[number] - ends[:-1], each)
-    at += np.arange(ends[-1])
-    return blob[at], ends[bounds]
+def taken(blob: np.ndarray, ends: np.ndarray, number: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[number] end to end, and the texts' bounds in them; value i stands from ends[i] to ends[i + 1] of blob."""
+    each = np.diff(ends)[number]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    at = np.repeat(ends[:-1][number] - upto[:-1], each)
+    at += np.arange(upto[-1])
+    return blob[at], upto[bounds]
 
 
 def slices(texts: pa.Array, size: int, do: Callable[[pa.Array], list]) -> list:

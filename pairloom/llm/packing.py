@@ -7,7 +7,7 @@ lengths, then a local search between underfull bins. It moves a piece, or
 exchanges one for one, two for one or one for two, whenever the fuller bin gets
 fuller, which raises the sum of squared fills; the emptiest bins so run empty.
 The pieces of bins that stay underfull are dealt again to fewer shards, until one
-shard holds them or a round saves nothing, so shards cost next to no sequences.
+shard holds them or a round saves no bin, so shards cost next to no sequences.
 
 Defined cases: null and empty texts are documents of the end id alone. Each row is
 a document, also where doc_ids are null or repeat. Extra columns are ignored,
@@ -18,31 +18,36 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm._common import written
-from pairloom.llm._memo import WordMemo
-from pairloom.llm._words import cuts, plain, strung, words
+from pairloom.llm._memo import WordTable, give_back, of_stage
+from pairloom.llm._words import cuts, plain, taken, words
 
 LENGTH, END_ID, SHARD = 2048, 0, 4096
 #: Bins filled less than this share are dealt again.
 WELL_FILLED = 0.98
 BATCH_BYTES = 8 << 20
+#: Bytes of parts of words that a worker remembers in a generation.
+MEMO_BYTES = 32 << 20
 #: Characters that the vocabulary's pre-tokenizer never joins to letters or digits.
 _OUTER = ".,!*%$&#|<>?:;()\"-"
-#: Up to here lower-casing and normal forms work letter by letter.
-_PLAIN = "İ"
+_CLASS = "".join("\\" + c for c in _OUTER)
+#: A core that begins and ends with a letter or digit, of characters whose lower case and normal form go letter by letter.
+_PLAIN = r"^[\pL\pN]([\x00-\x{12F}]*[\pL\pN])?$", r"^[\x00-\x{12F}]*$"
 
 
 class WordEncoder:
-    """Token ids of texts, by the tokenizers library, with a memory for words.
+    """Token ids of texts, by the tokenizers library, with a memory for parts of words.
 
     The vocabulary's pre-tokenizer never joins across ASCII blanks, nor letters or
     digits with the marks around them, and its normal form works inside such
@@ -56,53 +61,72 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = WordMemo(self._by_library)
-        self.words = WordMemo(self._by_parts)
-
-    def _by_library(self, parts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            # One call for all: the ids of part i are those whose offset lies in its span.
-            starts = np.cumsum([0] + [len(p) + 1 for p in some])
-            code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(code.ids, "<u4")
-            at = np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cut = np.searchsorted(at, starts) * 4
-            raw = ids.tobytes()
-            out.extend(raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
-        return out
-
-    def _by_parts(self, some: list[bytes]) -> list[bytes]:
-        parts: list[str] = []
-        ends = []
-        for word in b" ".join(some).decode().split(" "):
-            core = word.strip(_OUTER)
-            plain = core and core[0].isalnum() and core[-1].isalnum() and (word.isascii() or max(word) < _PLAIN)
-            if not plain or "<|" in word and any(x in word for x in self.special):
-                parts.append(word)
-            elif len(core) == len(word):
-                parts.append(word.lower())
-            else:
-                at = word.index(core)
-                if at:
-                    parts.append(word[:at])
-                parts.append(core.lower())
-                if at + len(core) < len(word):
-                    parts.append(word[at + len(core) :])
-            ends.append(len(parts))
-        code = self.parts.values([parts])[0]
-        return [code[a] if b - a == 1 else b"".join(code[a:b]) for a, b in zip([0, *ends], ends)]
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id is the last one of a word.
+        self.is_last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_last[[i for w, i in self.tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self.parts = WordTable(self._by_library, MEMO_BYTES)
+
+    def _by_library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts end to end, and where each one's end; many parts in one call."""
+        # A run of letters ends with the one id that ends a word; of other parts the offsets tell.
+        order = sorted(range(len(parts)), key=lambda i: not parts[i].isalpha())
+        letters = sum(map(str.isalpha, parts))
+        found, sizes = [], []
+        for start, stop in ((0, letters), (letters, len(parts))):
+            for k in range(start, stop, 20_000):
+                some = [parts[i] for i in order[k : min(stop, k + 20_000)]]
+                code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids = np.array(code.ids, "<u4")
+                last = np.flatnonzero(self.is_last[ids]) if k < letters else []
+                if len(last) == len(some):
+                    cut = np.concatenate([[0], last + 1])
+                else:
+                    at = np.array(code.offsets, np.int64).reshape(-1, 2)[:, 0]
+                    cut = np.searchsorted(at, np.cumsum([0] + [len(p) + 1 for p in some]))
+                found.append(ids)
+                sizes.append(np.diff(cut))
+        back = np.empty(len(parts), np.int64)
+        back[order] = np.arange(len(parts))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([[], *sizes]))]).astype(np.int64)
+        return taken(np.concatenate([np.empty(0, "<u4"), *found]), ends, back, np.arange(len(parts) + 1))
+
+    def _split(self, different: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts, and for each word the places of its marks before, its core and its marks behind; -1: none."""
+        core = pc.utf8_trim(different, _OUTER)
+        plain = pc.and_(pc.match_substring_regex(core, _PLAIN[0]), pc.match_substring_regex(core, _PLAIN[1]))
+        if self.special:
+            maybe = pc.match_substring(different, "<|")
+            if pc.any(maybe).as_py():
+                plain = pc.and_not(plain, pc.and_(maybe, pc.match_substring_regex(different, self.special)))
+        place = np.full((len(different), 3), -1, np.int64)
+        place[:, 1] = np.arange(len(different))
+        parts = [pc.if_else(plain, pc.utf8_lower(core), different)]
+        size, left = pc.binary_length(different), pc.binary_length(pc.utf8_ltrim(different, _OUTER))
+        for k, has, rest in (
+            (0, pc.less(left, size), f"(?s)[^{_CLASS}].*$"),
+            (2, pc.less(pc.binary_length(core), left), f"(?s)^.*[^{_CLASS}]"),
+        ):
+            at = np.flatnonzero(pc.and_(plain, has).to_numpy(zero_copy_only=False))
+            if len(at):
+                marks = pc.replace_substring_regex(different.take(pa.array(at)), rest, "")
+                place[at, k] = sum(map(len, parts)) + np.arange(len(at))
+                parts.append(marks)
+        return pa.chunked_array(parts).combine_chunks(), place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and the bounds of each text."""
         different, number, bounds = words(texts)
-        values = self.words.values([different.cast(pa.large_binary()).to_pylist()])[0]
-        return strung(values, 4, number, bounds)
-
-
-_encoders: dict[str, WordEncoder] = {}
+        if not len(different):
+            return np.empty(0, "<u4"), bounds
+        parts, place = self._split(different)
+        parts = parts.dictionary_encode()
+        blob, at, found = self.parts.values(parts.dictionary)
+        there = place >= 0
+        which = found[parts.indices.to_numpy(zero_copy_only=False)[place[there]]]
+        ids, ends = taken(blob, at, which, np.concatenate([[0], np.cumsum(there.sum(axis=1))]))
+        return taken(ids, ends, number, bounds)
 
 
 def default_vocabulary() -> str:
@@ -121,9 +145,7 @@ def pieces_of(ids: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
 
 def _piece_rows(path: str, length: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
+        encoder = of_stage(("words", path), lambda: WordEncoder(path))
 
         for batch in batches:
             texts = plain(batch.column(1))
@@ -140,6 +162,7 @@ def _piece_rows(path: str, length: int) -> Callable:
                     [batch.column(0).take(pa.array(docs)), *(pa.array(c, t) for c, t in zip(cols, types))],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        give_back()
 
     return rows
 
@@ -161,40 +184,59 @@ def best_fit(lengths: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+def _by_length(members: list[int], lengths: list[int]) -> dict[int, list[int]]:
+    """A bin's pieces by their length; a bin of 2,048 has at most 63 different lengths, however many pieces."""
+    out: dict[int, list[int]] = {}
+    for i in members:
+        out.setdefault(lengths[i], []).append(i)
+    return out
+
+
+def _pairs(some: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    """(sum, one length, another) of all pairs of pieces that differ in their lengths."""
+    sizes = sorted(some)
+    out = [(x + y, x, y) for k, x in enumerate(sizes) for y in sizes[k + 1 :]]
+    return sorted(out + [(2 * x, x, x) for x in sizes if len(some[x]) > 1])
+
+
 def _exchange(a: list[int], b: list[int], lengths: list[int], space: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
     """What to give from bin a for what of b so that b gains most, but at most ``space``."""
+    mine, theirs = _by_length(a, lengths), _by_length(b, lengths)
+    back, twos = sorted(theirs), None
     best, gain = None, 0
 
-    def offer(give: tuple[int, ...], take: tuple[int, ...], g: int) -> None:
+    def offer(give: tuple[int, ...], take: tuple[int, ...]) -> None:
         nonlocal best, gain
+        g = sum(give) - sum(take)
         if gain < g <= space:
             best, gain = (give, take), g
 
-    back = sorted((lengths[j], j) for j in b)
-    twos = sorted((back[x][0] + back[y][0], back[x][1], back[y][1]) for x in range(len(back)) for y in range(x)) if len(back) <= 24 else []
-
-    def match(give: tuple[int, ...], size: int) -> None:
-        offer(give, (), size)
-        # The smallest return that still fits gains most.
-        k = bisect.bisect_left(back, (size - space, -1))
+    # The smallest return that still fits gains most.
+    for x in mine:
+        offer((x,), ())
+        k = bisect.bisect_left(back, x - space)
         if k < len(back):
-            offer(give, (back[k][1],), size - back[k][0])
-        if len(give) == 1 and twos:
-            k = bisect.bisect_left(twos, (size - space, -1, -1))
-            if k < len(twos):
-                offer(give, twos[k][1:], size - twos[k][0])
-
-    mine = a if len(a) <= 24 else sorted(a, key=lambda i: -lengths[i])[:24]
-    for x, i in enumerate(a):
-        match((i,), lengths[i])
-        if gain == space:
-            return best
-    for x, i in enumerate(mine):
-        for j in mine[:x]:
-            match((i, j), lengths[i] + lengths[j])
+            offer((x,), (back[k],))
+    if gain < space:
+        for both, x, y in _pairs(mine):
+            offer((x, y), ())
+            k = bisect.bisect_left(back, both - space)
+            if k < len(back):
+                offer((x, y), (back[k],))
             if gain == space:
-                return best
-    return best
+                break
+    if gain < space:
+        twos = _pairs(theirs)
+        for x in mine:
+            k = bisect.bisect_left(twos, (x - space, -1, -1))
+            if k < len(twos):
+                offer((x,), twos[k][1:])
+    if best is None:
+        return None
+    chosen = []
+    for sizes, some in zip(best, (mine, theirs)):
+        chosen.append(tuple(some[x][n] for n, x in enumerate(sizes)) if len(set(sizes)) < len(sizes) else tuple(some[x][0] for x in sizes))
+    return chosen[0], chosen[1]
 
 
 def local_search(bins: list[list[int]], lengths: list[int], room: int) -> list[list[int]]:
@@ -257,18 +299,20 @@ def pack_documents(
     pieces = written(tokenised_pieces(docs, vocabulary, length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     schema = "row long, length long, sequence_id long, offset long, fill long"
     todo = pieces.filter(F.col("length") < length).select("row", "length")
-    count, stage, done = todo.count(), 1, []
+    count, bins, stage, done = todo.count(), None, 1, []
+    well = F.col("fill") >= int(WELL_FILLED * length)
     while count:
         shards = -(-count // shard)
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(stage)), F.lit(shards)))
         packed = written(dealt.groupBy("shard").applyInPandas(_pack_shard(length, stage), schema), "packed")
-        again = packed.filter(F.col("fill") < int(WELL_FILLED * length)).select("row", "length")
-        left = again.count() if shards > 1 else 0
-        if left == 0 or left > count // 2:
+        firsts = F.col("offset") == 0
+        told = packed.agg(F.count_if(firsts).alias("bins"), F.count_if(~well).alias("left"), F.count_if(~well & firsts).alias("poor")).first()
+        # One shard is as good as it gets, and so is a round that saved no bin.
+        if shards == 1 or not told.left or bins is not None and told.bins >= bins:
             done.append(packed)
             break
-        done.append(packed.filter(F.col("fill") >= int(WELL_FILLED * length)))
-        todo, count, stage = again, left, stage + 1
+        done.append(packed.filter(well))
+        todo, count, bins, stage = packed.filter(~well).select("row", "length"), told.left, told.poor, stage + 1
     placed = spark.createDataFrame([], "row long, sequence_id long, offset long")
     for packed in done:
         placed = placed.unionByName(packed.select("row", "sequence_id", "offset"))

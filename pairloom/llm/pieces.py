@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm._memo import WordMemo
+from pairloom.llm._memo import WordMemo, of_stage
 
 SPACE = "▁"
 BATCH_BYTES = 4 << 20
+#: Bytes of words that a worker remembers in a generation, whole words and parts of words each.
+MEMO_BYTES = 64 << 20
 
 
 class PieceCoder:
@@ -60,8 +62,8 @@ class PieceCoder:
             raise ValueError("the vocabulary has pieces that reach into the next word")
         if len(self.of_byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
-        self.parts = WordMemo(lambda parts: [self.merge(p) for p in parts])
-        self.words = WordMemo(self._checked_words)
+        self.parts = WordMemo(lambda parts: [self.merge(p) for p in parts], MEMO_BYTES)
+        self.words = WordMemo(self._checked_words, MEMO_BYTES)
 
     def merge(self, text: str) -> list[int]:
         """Ids of a run of characters, space signs included."""
@@ -148,9 +150,6 @@ class PieceCoder:
         return out
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -159,11 +158,10 @@ def default_vocabulary() -> str:
 
 def _rows(path: str, full: bool) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _coders:
-            _coders[path] = PieceCoder(path)
+        coder = of_stage(("pieces", path), lambda: PieceCoder(path))
 
         def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
-            coded = _coders[path].encode(texts)
+            coded = coder.encode(texts)
             cols = [
                 pa.array(ids, pa.int64()),
                 pa.array([n for n, _, _ in coded], pa.int64()),

@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm._memo import WordMemo
+from pairloom.llm._memo import WordMemo, of_stage
 
 BLOCK = 1024
+#: Bytes of words that a worker remembers in a generation.
+MEMO_BYTES = 64 << 20
 
 
 class TokenCounter:
@@ -38,7 +40,7 @@ class TokenCounter:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = WordMemo(lambda words: [len(self.encoding.encode_ordinary(w)) for w in words])
+        self.words = WordMemo(lambda words: [len(self.encoding.encode_ordinary(w)) for w in words], MEMO_BYTES)
 
     def count(self, texts: list[str]) -> list[int]:
         """The pattern always parts a text before a single space with a word after it."""
@@ -51,9 +53,6 @@ class TokenCounter:
         return [first, *[" " + w for w in rest]]
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -62,17 +61,16 @@ def default_vocabulary() -> str:
 
 def _rows(path: str) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = TokenCounter(path)
+        counter = of_stage(("counts", path), lambda: TokenCounter(path))
         for batch in batches:
             counts, texts, size = [], [], 0
             for text in batch.column(0):
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
                 if size > 2 << 20:
-                    counts += _counters[path].count(texts)
+                    counts += counter.count(texts)
                     texts, size = [], 0
-            counts += _counters[path].count(texts)
+            counts += counter.count(texts)
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n_tokens"])
 
     return rows
