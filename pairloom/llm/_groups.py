@@ -44,35 +44,64 @@ def _bounds(keys: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys)]])
 
 
-class Forest:
-    """Union-find over 0..n-1; the root of a tree is its smallest member."""
+def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of 0..n-1 the smallest one that the edges (a, b) connect it to."""
+    up = np.arange(n)
+    while len(a):
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
+
+
+#: Edges that a task holds at once when it contracts them.
+EDGES_AT_ONCE = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the edges of a task: each vertex with the smallest one that they connect it to."""
+    held: list[np.ndarray] = []
+
+    def forest() -> tuple[np.ndarray, np.ndarray]:
+        ends = np.concatenate(held, axis=1) if held else np.empty((2, 0), np.int64)
+        names, place = np.unique(ends, return_inverse=True)
+        up = smallest(*place.reshape(ends.shape), len(names))
+        off = np.flatnonzero(up != np.arange(len(up)))
+        return names[off], names[up[off]]
+
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
+        if sum(h.shape[1] for h in held) > EDGES_AT_ONCE:
+            a, b = forest()
+            held = [np.stack([a, b])]
+            if len(a) > EDGES_AT_ONCE // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                held = []
+    a, b = forest()
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) of the same components: all edges of an ``a`` meet in a task, which keeps a forest of them.
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+    So about one edge for each vertex is left, however often it was tied.
+    """
+    return written(edges.select("a", "b").repartition("a").mapInArrow(_contract, "a long, b long"), "forest")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(k, c) for each end of the edges (a, b): c is the smallest k connected to it.
 
-    Large-star and small-star rounds: every vertex hands its larger, then its
-    smaller neighbours to the smallest one, until all edges point at the smallest
-    vertex of their component. Hot vertices are no burden: minima are combined
-    before the shuffle, and the joins that hand them out can be split.
+    The edges are contracted within tasks first. Then come large-star and small-star
+    rounds: every vertex hands its larger, then its smaller neighbours to the smallest
+    one, until all edges point at the smallest vertex of their component. Hot vertices
+    are no burden: minima are combined before the shuffle, and the joins that hand
+    them out can be split.
     """
-    now = written(_stars(edges.filter("a <> b")), "edges")
+    now = written(_stars(contracted(edges.filter("a <> b"))), "edges")
     seen = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

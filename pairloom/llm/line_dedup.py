@@ -11,14 +11,15 @@ the same bytes: they are grouped by their bytes, not by a hash alone. Of such
 places the one in the document with the smallest doc_id stays, the first one in
 that document, and the others go. Single short lines always stay.
 
-Only short keys are joined: a hash that stands for two byte strings is noticed
-when the bytes are grouped, and its chunks then stay.
+Only short keys are joined, of two independent 64-bit hashes. One that stands for two
+byte strings all the same would be noticed when the bytes are grouped, and its chunks
+would stay.
 
 Defined cases: a null text stays null, with no lines; an empty text has one empty
 line. Rows without doc_id come after all others. Rows that share a doc_id count as
 one document when it is asked which document keeps a chunk; rows that repeat both
-doc_id and text are treated alike. Other columns are kept as they are. An empty
-table gives an empty result.
+doc_id and text are treated alike. Other columns are kept as they are, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm._common import col, fresh, prefix, written
+
 DIVISOR = 3
 LONG_WORDS = 50
 NO_ID = (1 << 63) - 1
@@ -76,51 +79,60 @@ def chunks(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -
     return F.when(text.isNotNull(), _let(F.split(text, "\n", -1), cut))
 
 
+def _key(body: Column) -> Column:
+    """Two independent 64-bit hashes of a chunk."""
+    return F.struct(F.xxhash64(body).alias("h"), F.xxhash64(F.lit(1), body).alias("g"))
+
+
 def _marked(parts: Column) -> Column:
-    """(k, h, again) of the chunks that count as passages; again: the text has it before."""
+    """(k, key, again) of the chunks that count as passages; again: the text has it before."""
     numbered = F.filter(
-        F.transform(parts, lambda c, k: F.struct(F.xxhash64(c["body"]).alias("h"), k.alias("k"), c["passage"].alias("passage"))), lambda c: c["passage"]
+        F.transform(parts, lambda c, k: F.struct(_key(c["body"]).alias("key"), k.alias("k"), c["passage"].alias("passage"))), lambda c: c["passage"]
     )
     return _let(
         F.array_sort(numbered),
-        lambda s: F.transform(s, lambda c, i: F.struct(c["k"].alias("k"), c["h"].alias("h"), ((i > 0) & (s[F.greatest(i - 1, F.lit(0))]["h"] == c["h"])).alias("again"))),
+        lambda s: F.transform(
+            s, lambda c, i: F.struct(c["k"].alias("k"), c["key"].alias("key"), ((i > 0) & (s[F.greatest(i - 1, F.lit(0))]["key"] == c["key"])).alias("again"))
+        ),
     )
 
 
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated chunks taken out of their texts.
 
-    Two columns are added: n_lines (of the text as it came) and n_removed_lines.
+    Two columns are added at the end: n_lines (of the text as it came) and
+    n_removed_lines, each with ``_`` before it if ``docs`` has that name.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    slim = docs.filter(F.col(text_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
+    p, text = prefix(docs.columns), col(text_col)
+    n_lines, n_removed = fresh(docs.columns, "n_lines", "n_removed_lines")
+    key = F.coalesce(col(id_col).cast("long"), F.lit(NO_ID))
+    slim = docs.filter(text.isNotNull()).select(key.alias("id"), text.alias("text"))
     cut = slim.select("id", F.xxhash64("text").alias("print"), chunks(F.col("text"), divisor, long_words).alias("parts"))
 
-    said = cut.select("id", F.explode("parts").alias("c")).filter("c.passage").select("id", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
-    equal = said.groupBy("h", "body").agg(F.min("id").alias("keeper"), F.count("*").alias("n"))
-    repeated = equal.groupBy("h").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).filter("n > 1 AND bodies = 1")
+    said = cut.select("id", F.explode("parts").alias("c")).filter("c.passage").select("id", _key(F.col("c.body")).alias("key"), F.col("c.body").alias("body"))
+    equal = said.groupBy("key", "body").agg(F.min("id").alias("keeper"), F.count("*").alias("n"))
+    repeated = equal.groupBy("key").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).filter("n > 1 AND bodies = 1")
+    # Written first: a join of two shuffled tables is one whose hot keys Spark can split, or broadcast if they are few.
+    repeated = written(repeated.select("key.h", "key.g", "keeper"), "repeated")
 
-    places = cut.select("id", "print", F.explode(_marked(F.col("parts"))).alias("m")).select("id", "print", "m.k", "m.h", "m.again")
-    gone = places.join(repeated, "h").filter("id > keeper OR again")
+    places = cut.select("id", "print", F.explode(_marked(F.col("parts"))).alias("m")).select("id", "print", "m.k", "m.key.h", "m.key.g", "m.again")
+    gone = places.join(repeated, ["h", "g"]).filter("id > keeper OR again")
     # A document's list has at most one number for each of its chunks.
-    lists = gone.groupBy("id", "print").agg(F.collect_set("k").alias("gone")).select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
+    lists = gone.groupBy("id", "print").agg(F.collect_set("k").alias("gone")).select(F.col("id").alias(p + "id"), F.col("print").alias(p + "print"), F.col("gone").alias(p + "gone"))
 
-    text = F.col(text_col)
-    joined = docs.join(lists, (key == F.col("__id")) & (F.xxhash64(text) == F.col("__print")), "left")
+    joined = docs.join(lists, (key == F.col(p + "id")) & (F.xxhash64(text) == F.col(p + "print")), "left")
 
     def kept(parts: Column) -> Column:
-        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda k: parts[k])
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(p + "gone")), lambda k: parts[k])
 
-    left = F.when(F.col("__gone").isNotNull(), _let(chunks(text, divisor, long_words), kept))
+    left = F.when(F.col(p + "gone").isNotNull(), _let(chunks(text, divisor, long_words), kept))
     lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
-    with_left = joined.withColumns({"n_lines": lines, "__left": left})
-    still = F.aggregate("__left", F.lit(0).cast("long"), lambda n, c: n + c["lines"])
-    return with_left.withColumns(
-        {
-            text_col: F.when(F.col("__left").isNotNull(), F.array_join(F.transform("__left", lambda c: c["body"]), "\n")).otherwise(text),
-            "n_removed_lines": F.when(F.col("__left").isNotNull(), F.col("n_lines") - still).otherwise(0).cast("long"),
-        }
-    ).drop("__id", "__print", "__gone", "__left")
+    with_left = joined.withColumns({n_lines: lines, p + "left": left})
+    rest = F.col(p + "left")
+    still = F.aggregate(rest, F.lit(0).cast("long"), lambda n, c: n + c["lines"])
+    shorter = F.when(rest.isNotNull(), F.array_join(F.transform(rest, lambda c: c["body"]), "\n")).otherwise(text)
+    removed = F.when(rest.isNotNull(), F.col(n_lines) - still).otherwise(0).cast("long")
+    return with_left.select(*[shorter.alias(c) if c == text_col else col(c) for c in docs.columns], n_lines, removed.alias(n_removed))
 
 
 #: The same in DuckDB SQL, for the columns that the registered query returns.

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pairloom.llm._common import join_small, text_map, written
+from pairloom.llm._common import col, join_small, own, prefix, text_map, written
 from pairloom.llm._words import no_blanks, words
 
 WINDOW = 5
@@ -105,13 +105,13 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __n_lines."""
-    return text_map(docs, text_col, lambda: measures, [T.StructField(f"__{c}", T.LongType()) for c in [*BASE, "n_lines"]])
+def with_measures(docs: DataFrame, text_col: str = "text", p: str = "__") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, all named with ``p`` before."""
+    return text_map(docs, text_col, lambda: measures, [T.StructField(p + c, T.LongType()) for c in [*BASE, "n_lines"]])
 
 
-def _rates() -> dict[str, Column]:
-    c = lambda name: F.col(f"__{name}")
+def _rates(p: str) -> dict[str, Column]:
+    c = lambda name: F.col(p + name)
     whole: Callable[[Column], Column] = lambda x: F.floor(x).cast("long")
     return {
         "symbols": whole(1000 * c("n_symbols") / F.greatest(c("word_chars"), F.lit(1))),
@@ -127,10 +127,10 @@ def bin_of(rate: Column) -> Column:
     return rate - rate % F.pow(F.lit(2), drop).cast("long")
 
 
-def sketches(measured: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+def sketches(measured: DataFrame, lang_col: str, source_col: str, p: str = "__") -> DataFrame:
     """(lang, source, rate, bin, n): mergeable by adding n."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), bin_of(v).alias("bin")) for k, v in _rates().items()]))
-    some = measured.filter("__n_words > 0").select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), each.alias("x"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), bin_of(v).alias("bin")) for k, v in _rates(p).items()]))
+    some = measured.filter(F.col(p + "n_words") > 0).select(col(lang_col).alias("lang"), col(source_col).alias("source"), each.alias("x"))
     return some.groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -163,31 +163,33 @@ def fences(sketch: DataFrame) -> DataFrame:
     return both.select("lang", "source", *out)
 
 
-def judged(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``measured`` with __base_failed and __kept."""
-    limits = written(fences(written(sketches(measured, lang_col, source_col), "sketch")), "fences")
+def judged(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", p: str = "__") -> DataFrame:
+    """``measured``, a written table, with base_failed and kept, named with ``p`` before."""
+    limits = written(fences(written(sketches(measured, lang_col, source_col, p), "sketch")), "fences")
     # Null-safe equality as equality of never-null keys.
     tag = lambda c: F.when(c.isNull(), "0").otherwise(F.concat(F.lit("1"), c.cast("string")))
-    limits = limits.select(tag(F.col("lang")).alias("__lang"), tag(F.col("source")).alias("__source"), *[F.col(c).alias(f"__{c}") for c in limits.columns[2:]])
-    keyed = measured.withColumns({"__lang": tag(F.col(lang_col)), "__source": tag(F.col(source_col))})
-    joined = join_small(keyed, limits, ["__lang", "__source"], "left")
-    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
+    limits = limits.select(tag(F.col("lang")).alias(p + "lang"), tag(F.col("source")).alias(p + "source"), *[F.col(c).alias(p + c) for c in limits.columns[2:]])
+    keyed = measured.withColumns({p + "lang": tag(col(lang_col)), p + "source": tag(col(source_col))})
+    joined = join_small(keyed, limits, [p + "lang", p + "source"], "left")
+    failed = (F.col(p + "n_words") < MIN_WORDS) | (100 * F.col(p + "n_repeat_words") > MAX_REPEAT_PERCENT * F.col(p + "n_words"))
     within = F.lit(True)
-    for rate, value in _rates().items():
-        within &= F.coalesce(value.between(F.col(f"__{rate}_low"), F.col(f"__{rate}_high")), F.lit(False))
-    return joined.withColumns({"__base_failed": failed, "__kept": ~failed & within})
+    for rate, value in _rates(p).items():
+        within &= F.coalesce(value.between(F.col(f"{p}{rate}_low"), F.col(f"{p}{rate}_high")), F.lit(False))
+    return joined.withColumns({p + "base_failed": failed, p + "kept": ~failed & within})
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, the base numbers, base_failed and kept."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang"), col(source_col).alias("source"))
     measured = written(with_measures(slim).drop("text"), "measures")
     return judged(measured).select("doc_id", *[F.col(f"__{c}").alias(c) for c in [*BASE, "base_failed", "kept"]])
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(with_measures(docs, text_col), lang_col, source_col).filter("__kept").select(docs.columns)
+    """The rows of ``docs`` that are kept, with their own columns; texts are measured once and read back with their measures."""
+    p = prefix(docs.columns)
+    measured = written(with_measures(docs, text_col, p), "measured")
+    return own(judged(measured, lang_col, source_col, p).filter(F.col(p + "kept")), docs.columns)
 
 
 def _sql_fence(rate: str) -> str:
