@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm._common import table, written
+from pairloom.llm._common import col, discard, made_so_far, own, prefix, table, written
 from pairloom.llm.line_dedup import line_dedup
 from pairloom.llm.near_dedup import near_duplicates
 from pairloom.llm.packing import pack_documents
@@ -30,10 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; n_chars follows."""
-    cut = line_dedup(docs).drop("n_lines", "n_removed_lines")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    cut = line_dedup(docs)
+    length = F.length("text")
+    return cut.select(*[length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +41,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id come after all others. Documents are told apart by the number
     of their row in a written table, so null and repeated ids are no exception.
     """
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("c"))
-    ids = numbered.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("order"))
-    members = written(found.join(ids, "__row").select("c", "__row", "order"), "members")
-    stay = members.groupBy("c").agg(F.min("order").alias("first")).select(F.col("first.__row").alias("__row"))
-    gone = members.select("__row").join(stay, "__row", "left_anti")
-    return numbered.join(gone, "__row", "left_anti").select(docs.columns)
+    p = prefix(docs.columns)
+    row, order = p + "row", p + "order"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, id_col=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("c"))
+    ids = numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias(order))
+    members = written(found.join(ids, row).select("c", row, order), "members")
+    stay = members.groupBy("c").agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = members.select(row).join(stay, row, "left_anti")
+    return own(numbered.join(gone, row, "left_anti"), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), made_so_far()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        # The stage's own tables, and what it has read, are no longer needed.
+        discard(begun)
     return STAGES[-1][1](spark, docs, sf_dir)
