@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import attribute, jaccard, model_tokens, price, round6, strip, word_tokens
 
 #: Buckets in their order of choice.
-BUCKETS = ("easy_match", "hard_match", "easy_non_match", "hard_negative")
+BUCKETS = ("easy_match_candidate", "hard_match_candidate", "easy_non_match_candidate", "hard_negative_candidate")
 KEY_FIELDS = ("title", "brand", "description")
 HYBRID_ONLY = ("hard_negative_hint", "active_hybrid_score")
 
@@ -126,9 +126,9 @@ def bucket_scores() -> dict[str, Column]:
     no_signal = _flag((c("brand_agreement") == 0) & (c("brand_conflict") == 0))
     agreed = 1.0 - c("conflict_evidence")
     scores = {
-        "easy_match": ((0.45, c("surface_similarity")), (0.20, c("model_overlap")), (0.20, c("brand_agreement")), (0.10, agreed), (0.05, 1.0 - missing)),
-        "hard_match": ((0.35, c("positive_evidence")), (0.25, unsure), (0.20, low), (0.10, missing), (0.10, agreed)),
-        "easy_non_match": (
+        "easy_match_candidate": ((0.45, c("surface_similarity")), (0.20, c("model_overlap")), (0.20, c("brand_agreement")), (0.10, agreed), (0.05, 1.0 - missing)),
+        "hard_match_candidate": ((0.35, c("positive_evidence")), (0.25, unsure), (0.20, low), (0.10, missing), (0.10, agreed)),
+        "easy_non_match_candidate": (
             (0.45, low),
             (0.20, 1.0 - c("model_overlap")),
             (0.15, no_signal),
@@ -136,7 +136,7 @@ def bucket_scores() -> dict[str, Column]:
             (0.05, c("currency_conflict")),
             (0.05, c("price_ratio_gap")),
         ),
-        "hard_negative": ((0.35, c("surface_similarity")), (0.20, c("positive_evidence")), (0.20, c("conflict_evidence")), (0.15, c("model_conflict")), (0.10, unsure)),
+        "hard_negative_candidate": ((0.35, c("surface_similarity")), (0.20, c("positive_evidence")), (0.20, c("conflict_evidence")), (0.15, c("model_conflict")), (0.10, unsure)),
     }
     return {name: round6(_weighted(*scores[name])) for name in BUCKETS}
 

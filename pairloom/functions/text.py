@@ -113,8 +113,13 @@ def decision(text: Column, depth: int = 3) -> Column:
     )
     if depth == 0:
         return read
-    nested = F.get_json_object(bare, "$.decision")
-    return F.when(bare.startswith("{") & nested.isNotNull(), decision(nested, depth - 1)).otherwise(read)
+    # A text that is JSON as a whole is read by its key, also where the key has no value.
+    # In brackets, as the parser overlooks what follows a whole value.
+    listed = F.concat(F.lit("["), bare, F.lit("]"))
+    whole = F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1)
+    keyed = bare.startswith("{") & whole & F.array_contains(F.json_object_keys(bare), "decision")
+    nested = F.coalesce(F.get_json_object(bare, "$.decision"), F.lit("none"))
+    return F.when(F.coalesce(keyed, no), decision(nested, depth - 1)).otherwise(read)
 
 
 def prompt(pair_id: Column, text: Column) -> Column:
@@ -184,11 +189,19 @@ def slug(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
 
 
-def budget_of(file_name: Column) -> Column:
-    found = F.regexp_extract(file_name, r"train_(\d+|full)", 1)
+def budget_of(path: Column) -> Column:
+    """The budget in the name of a training file, such as 128 or full."""
+    found = F.regexp_extract(F.substring_index(path, "/", -1), r"train_([A-Za-z0-9]+)", 1)
     return F.when(found != "", found)
 
 
+def strategy_of(path: Column) -> Column:
+    """How the pairs of a training file were chosen: random in the folder of small budgets, else what its name says."""
+    name = F.substring_index(path, "/", -1)
+    said = F.regexp_extract(name, r"train_[A-Za-z0-9]+\.([A-Za-z0-9_]+)\.jsonl$", 1)
+    return F.when(F.try_element_at(F.split(path, "/"), F.lit(-2)).eqNullSafe("low_label") & name.startswith("train_"), "random").when(said != "", said)
+
+
 def message_text(content: Column) -> Column:
     """A message's JSON content as text: a string, or the texts of its parts."""
     parts = F.from_json(content, "array<struct<text:string>>")

@@ -54,7 +54,7 @@ _CACHE = """
 SELECT pair_id, 'wdc_products' AS dataset, split, '128' AS budget,
   CASE WHEN o % 2 = 0 THEN 'llm_random' ELSE 'llm_active_bucketed_v1' END AS selection_strategy,
   CAST(o % 128 + 1 AS INT) AS selection_rank, CASE WHEN o % 5 = 0 THEN NULL ELSE (o % 64) / 64.0D0 END AS selection_score, CAST(42 AS INT) AS selection_seed,
-  o % 2 = 0 AS selection_uses_gold_label, CASE o % 3 WHEN 0 THEN 'easy_match' WHEN 1 THEN 'hard_negative' END AS selection_bucket,
+  o % 2 = 0 AS selection_uses_gold_label, CASE o % 3 WHEN 0 THEN 'easy_match_candidate' WHEN 1 THEN 'hard_negative_candidate' END AS selection_bucket,
   CASE WHEN o % 9 = 0 THEN 'm2' ELSE 'm1' END AS teacher_model, CASE WHEN o % 10 = 9 THEN 'v2' ELSE 'v1' END AS prompt_version,
   CASE WHEN o % 29 = 0 THEN 'I think match.' WHEN o % 31 = 0 THEN '' WHEN (label = 1) = (o % 13 <> 0) THEN CASE o % 4 WHEN 0 THEN 'match' WHEN 1 THEN ' "Match" ' WHEN 2 THEN '`MATCH`' ELSE 'match' || chr(10) END
     ELSE CASE o % 4 WHEN 0 THEN 'non_match' WHEN 1 THEN chr(39) || 'Non-Match' || chr(39) WHEN 2 THEN '" non_match "' ELSE 'non-match' END END AS raw_answer,
@@ -148,10 +148,10 @@ CTES = {
     + ", ".join(
         f"{_r6(_sum(*parts))} AS score_{name}"
         for name, parts in {
-            "easy_match": (("0.45", "surface_similarity"), ("0.20", "model_overlap"), ("0.20", "brand_agreement"), ("0.10", "(1.0::DOUBLE - conflict_evidence)"), ("0.05", "(1.0::DOUBLE - least(missing_key_fields / 4.0::DOUBLE, 1.0::DOUBLE))")),
-            "hard_match": (("0.35", "positive_evidence"), ("0.25", _unsure("surface_similarity")), ("0.20", "(1.0::DOUBLE - surface_similarity)"), ("0.10", "least(missing_key_fields / 4.0::DOUBLE, 1.0::DOUBLE)"), ("0.10", "(1.0::DOUBLE - conflict_evidence)")),
-            "easy_non_match": (("0.45", "(1.0::DOUBLE - surface_similarity)"), ("0.20", "(1.0::DOUBLE - model_overlap)"), ("0.15", "(CASE WHEN brand_agreement = 0 AND brand_conflict = 0 THEN 1.0::DOUBLE ELSE 0.0 END)"), ("0.10", "brand_conflict"), ("0.05", "currency_conflict"), ("0.05", "price_ratio_gap")),
-            "hard_negative": (("0.35", "surface_similarity"), ("0.20", "positive_evidence"), ("0.20", "conflict_evidence"), ("0.15", "model_conflict"), ("0.10", _unsure("surface_similarity"))),
+            "easy_match_candidate": (("0.45", "surface_similarity"), ("0.20", "model_overlap"), ("0.20", "brand_agreement"), ("0.10", "(1.0::DOUBLE - conflict_evidence)"), ("0.05", "(1.0::DOUBLE - least(missing_key_fields / 4.0::DOUBLE, 1.0::DOUBLE))")),
+            "hard_match_candidate": (("0.35", "positive_evidence"), ("0.25", _unsure("surface_similarity")), ("0.20", "(1.0::DOUBLE - surface_similarity)"), ("0.10", "least(missing_key_fields / 4.0::DOUBLE, 1.0::DOUBLE)"), ("0.10", "(1.0::DOUBLE - conflict_evidence)")),
+            "easy_non_match_candidate": (("0.45", "(1.0::DOUBLE - surface_similarity)"), ("0.20", "(1.0::DOUBLE - model_overlap)"), ("0.15", "(CASE WHEN brand_agreement = 0 AND brand_conflict = 0 THEN 1.0::DOUBLE ELSE 0.0 END)"), ("0.10", "brand_conflict"), ("0.05", "currency_conflict"), ("0.05", "price_ratio_gap")),
+            "hard_negative_candidate": (("0.35", "surface_similarity"), ("0.20", "positive_evidence"), ("0.20", "conflict_evidence"), ("0.15", "model_conflict"), ("0.10", _unsure("surface_similarity"))),
         }.items()
     )
     + " FROM features",

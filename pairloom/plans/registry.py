@@ -77,19 +77,20 @@ def P13_answers(spark, sf):
     return fixtures.cache(spark, sf).select("pair_id", "ordinal", "raw_answer", "label", "valid")
 
 
-_DECISIONS = """SELECT pair_id, ordinal, CASE ordinal % 12 WHEN 0 THEN 'Match, surely' WHEN 1 THEN 'non match' WHEN 2 THEN 'text [[decision]] no match' WHEN 3 THEN '{"decision": "Match"}'
+_DECISIONS = """SELECT pair_id, ordinal, CASE ordinal % 14 WHEN 0 THEN 'Match, surely' WHEN 1 THEN 'non match' WHEN 2 THEN 'text [[decision]] no match' WHEN 3 THEN '{"decision": "Match"}'
   WHEN 4 THEN '{"decision": "[[decision]] non-match"}' WHEN 5 THEN '' WHEN 6 THEN 'unclear' WHEN 7 THEN concat('no match', chr(10), 'match') WHEN 8 THEN concat('so: ', chr(34), 'decision', chr(34), ': ', chr(34), 'match', chr(34))
-  WHEN 9 THEN '{"decision": "maybe"}' WHEN 10 THEN '  NON-MATCH. ' ELSE concat('hm', chr(10), 'match') END AS answer FROM {t}"""
+  WHEN 9 THEN '{"decision": "maybe"}' WHEN 10 THEN '  NON-MATCH. '
+  WHEN 12 THEN '{"decision": "unsure"} "decision": "match"' WHEN 13 THEN '{"decision": null, "x": "[[decision]] match"}' ELSE concat('hm', chr(10), 'match') END AS answer FROM {t}"""
 
 
 @query(
     sql(
-        f"WITH d AS ({_DECISIONS.replace('{t}', 'pairs')}) SELECT pair_id, ordinal, CASE ordinal % 12 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 7 THEN false WHEN 8 THEN true WHEN 10 THEN false END AS decision FROM d",
+        f"WITH d AS ({_DECISIONS.replace('{t}', 'pairs')}) SELECT pair_id, ordinal, CASE ordinal % 14 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 7 THEN false WHEN 8 THEN true WHEN 10 THEN false WHEN 12 THEN true END AS decision FROM d",
         "pairs",
     )
 )
 def P14_decisions(spark, sf):
-    told = spark.sql(_DECISIONS.replace('{"', '{{"').replace('"}', '"}}'), t=fixtures.pairs(spark, sf).select("pair_id", "ordinal"))
+    told = spark.sql(_DECISIONS.replace("{", "{{").replace("}", "}}").replace("{{t}}", "{t}"), t=fixtures.pairs(spark, sf).select("pair_id", "ordinal"))
     return told.select("pair_id", "ordinal", text.decision(F.col("answer")).alias("decision"))
 
 
@@ -147,12 +148,16 @@ def P22_P23_P24_segments(spark, sf):
 
 
 @query(
-    "SELECT p_partkey, trim(lower(regexp_replace(p_name || '/' || p_type || ' #' || p_size, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug, CASE WHEN p_size % 3 = 0 THEN 'full' ELSE (p_size * 2)::VARCHAR END AS budget FROM part"
+    "SELECT p_partkey, trim(lower(regexp_replace(p_name || '/' || p_type || ' #' || p_size, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug,"
+    " CASE p_size % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'small' WHEN 2 THEN (p_size * 2)::VARCHAR END AS budget,"
+    " CASE WHEN p_size % 3 = 0 AND p_size % 4 < 3 THEN 'random' WHEN p_size % 3 = 1 AND p_size % 4 < 3 THEN 'active_' || p_size END AS strategy FROM part"
 )
 def P25_P26_P27_names(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    name = F.concat(F.lit("x/train_"), F.when(F.col("p_size") % 3 == 0, "full").otherwise((F.col("p_size") * 2).cast("string")), F.lit(".jsonl"))
-    return part.select("p_partkey", text.slug(F.concat("p_name", F.lit("/"), "p_type", F.lit(" #"), "p_size")).alias("slug"), text.budget_of(name).alias("budget"))
+    part, size = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_size")
+    start = F.when(size % 4 == 0, "train_full").when(size % 4 == 1, "train_small").when(size % 4 == 2, F.concat(F.lit("train_"), (size * 2).cast("string"))).otherwise("valid")
+    path = F.when(size % 3 == 0, F.concat(F.lit("x/low_label/"), start, F.lit(".jsonl"))).when(size % 3 == 1, F.concat(F.lit("x/"), start, F.lit(".active_"), size.cast("string"), F.lit(".jsonl")))
+    path = path.otherwise(F.concat(start, F.lit(".jsonl")))
+    return part.select("p_partkey", text.slug(F.concat("p_name", F.lit("/"), "p_type", F.lit(" #"), "p_size")).alias("slug"), text.budget_of(path).alias("budget"), text.strategy_of(path).alias("strategy"))
 
 
 @query(
@@ -261,12 +266,12 @@ def T2_bucketed_selection(spark, sf):
 
 
 @query(
-    "WITH b AS (SELECT * FROM (VALUES ('easy_match', 0, 0.5), ('hard_match', 1, 0.25), ('easy_non_match', 2, 0.25), ('hard_negative', 3, 0.1)) AS t(bucket, place, ratio)), n AS (SELECT unnest([1, 7, 16, 33, 128]) AS budget), "
+    "WITH b AS (SELECT * FROM (VALUES ('easy_match_candidate', 0, 0.5), ('hard_match_candidate', 1, 0.25), ('easy_non_match_candidate', 2, 0.25), ('hard_negative_candidate', 3, 0.1)) AS t(bucket, place, ratio)), n AS (SELECT unnest([1, 7, 16, 33, 128]) AS budget), "
     "r AS (SELECT budget, bucket, place, budget * ratio / 1.1 AS exact FROM b, n), q AS (SELECT *, floor(exact) AS base, row_number() OVER (PARTITION BY budget ORDER BY exact - floor(exact) DESC, place) AS turn FROM r) "
     "SELECT budget, bucket, (base + CASE WHEN turn <= budget - sum(base) OVER (PARTITION BY budget) THEN 1 ELSE 0 END)::BIGINT AS quota FROM q"
 )
 def T3_quotas(spark, sf):
-    rows = [(n, b, q) for n in (1, 7, 16, 33, 128) for b, q in selection.bucket_quotas(n, {"easy_match": 0.5, "hard_negative": 0.1}).items()]
+    rows = [(n, b, q) for n in (1, 7, 16, 33, 128) for b, q in selection.bucket_quotas(n, {"easy_match_candidate": 0.5, "hard_negative_candidate": 0.1}).items()]
     return _lit_rows(spark, "budget int, bucket string, quota long", rows)
 
 
@@ -706,10 +711,10 @@ def N8_uncertainty(spark, sf):
     return selection.top_k(p, 32, "unsure", "uncertainty").select("pair_id", "selection_score", "selection_rank")
 
 
-@query(sql("SELECT pair_id, selection_score, row_number() OVER (ORDER BY selection_score DESC, pair_id)::INT AS selection_rank FROM (SELECT pair_id, score_hard_negative AS selection_score FROM scored WHERE split = 'train' ORDER BY 2 DESC, 1 LIMIT 32)", "scored"))
+@query(sql("SELECT pair_id, selection_score, row_number() OVER (ORDER BY selection_score DESC, pair_id)::INT AS selection_rank FROM (SELECT pair_id, score_hard_negative_candidate AS selection_score FROM scored WHERE split = 'train' ORDER BY 2 DESC, 1 LIMIT 32)", "scored"))
 def N8_hard_negative(spark, sf):
     train = with_bucket_scores(fixtures.featured(spark, sf).filter("split = 'train'"))
-    return selection.top_k(train, 32, "score_hard_negative", "hard_negative").select("pair_id", "selection_score", "selection_rank")
+    return selection.top_k(train, 32, "score_hard_negative_candidate", "hard_negative").select("pair_id", "selection_score", "selection_rank")
 
 
 @query(None)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.pairs import typed_pairs
-from pairloom.operators.selection import cap_per_group
 from pairloom.schemas import RAW_PAIR, cache_violations
 
 #: Fixed value: how the files of a split are named.
@@ -126,11 +125,17 @@ def load_pairs(spark: SparkSession, root: str, limit_per_split: int | None = Non
     chosen = split_files(files_under(spark, root), **config)
 
     def one(split: str, name: str) -> DataFrame:
-        rows = zipped_json_lines(spark, root, re.escape(name) + "$", RAW_PAIR) if root.endswith(".zip") else json_lines(spark, name, RAW_PAIR)
+        if root.endswith(".zip"):
+            rows = zipped_json_lines(spark, root, re.escape(name) + "$", RAW_PAIR)
+            # A file in an archive is read by one task, in its order.
+            rows = rows if limit_per_split is None else rows.limit(limit_per_split)
+        elif limit_per_split is None:
+            rows = json_lines(spark, name, RAW_PAIR)
+        else:
+            rows = numbered_json_lines(spark, name, RAW_PAIR).orderBy("ordinal").limit(limit_per_split).drop("ordinal")
         return typed_pairs(rows).withColumn("split", F.lit(split))
 
-    pairs = reduce(DataFrame.unionByName, [one(s, n) for s, n in chosen.items()])
-    return pairs if limit_per_split is None else cap_per_group(pairs, "split", limit_per_split, "pair_id")
+    return reduce(DataFrame.unionByName, [one(s, n) for s, n in chosen.items()])
 
 
 def cost_assumptions(spark: SparkSession, path: str) -> DataFrame:

@@ -31,11 +31,11 @@ def test_buckets_equal_a_plain_loop(spark, monkeypatch, n, budget, limit):
 def test_quotas():
     assert selection.bucket_quotas(128) == dict.fromkeys(BUCKETS, 32)
     assert list(selection.bucket_quotas(10).values()) == [3, 3, 2, 2]
-    assert selection.bucket_quotas(4, {b: 0 for b in BUCKETS[1:]})["easy_match"] == 4
-    for bad in ({"odd": 1}, {"easy_match": -1}, dict.fromkeys(BUCKETS, 0)):
+    assert selection.bucket_quotas(4, {b: 0 for b in BUCKETS[1:]})["easy_match_candidate"] == 4
+    for bad in ({"odd": 1}, {"easy_match_candidate": -1}, dict.fromkeys(BUCKETS, 0)):
         with pytest.raises(ValueError):
             selection.bucket_quotas(4, bad)
-    assert sum(selection.bucket_quotas(7, {"easy_match": 0.9}).values()) == 7
+    assert sum(selection.bucket_quotas(7, {"easy_match_candidate": 0.9}).values()) == 7
 
 
 def test_too_few_rows(spark):
