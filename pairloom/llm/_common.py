@@ -135,6 +135,6 @@ def text_map(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
 BROADCAST_ROWS = 100_000
 
 
-def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written table: by broadcast if it has few rows (they are counted), else by a shuffle."""
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    return large.join(F.broadcast(small) if small.count() <= most else small, on, how)
