@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm._common import col, discard, made_so_far, own, prefix, table, written
+from pairloom.llm._common import col, discard, join_small, made_so_far, own, prefix, table, written
 from pairloom.llm.line_dedup import line_dedup
 from pairloom.llm.near_dedup import near_duplicates
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.quality import quality_filter
 from pairloom.llm.toxicity import toxicity_filter
 
+#: Most row numbers (8 bytes each) that are broadcast.
+MOST_GONE = 1_000_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel classifier takes for toxic go."""
@@ -48,8 +51,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias(order))
     members = written(found.join(ids, row).select("c", row, order), "members")
     stay = members.groupBy("c").agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
-    gone = members.select(row).join(stay, row, "left_anti")
-    return own(numbered.join(gone, row, "left_anti"), docs.columns)
+    gone = written(members.select(row).join(stay, row, "left_anti"), "gone")
+    # Numbers alone: while they are few, the texts stay where they are.
+    return own(join_small(numbered, gone, [row], "left_anti", MOST_GONE), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
