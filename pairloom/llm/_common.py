@@ -114,6 +114,11 @@ def text_map(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
     ``make()`` runs once in each task and gives the function from texts (null: empty)
     to columns. The other columns pass through as they are.
     """
+    if any("." in c or "`" in c for c in docs.columns):
+        # mapInArrow takes dots for the names of fields.
+        names, new = docs.columns, [f.name for f in fields]
+        made = text_map(docs.toDF(*fresh(new, *[f"c{i}" for i in range(len(names))])), f"c{names.index(text_col)}", make, fields)
+        return made.toDF(*names, *new)
     at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,24 @@ def test_packed(spark, steps):
         assert sorted(got.pop(i)) == [(k, 2048 * k, len(p) // 4, zlib.crc32(p)) for k, p in enumerate(cut)]
     assert not got
     assert sorted((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.piece) for r in steps[5].collect())
+
+
+@pytest.mark.parametrize("names", [["n_lines", "__score", "__n_words", "kept"], ["N_LINES", "__SCORE", "__row", "Row"], ["__", "___n_words", "n_removed_lines", "a.b"]])
+def test_clashing_columns_pass_through(spark, names):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = [stage(spark, docs, SF) for _, stage in corpus_pipeline.STAGES[1:4]]
+    for name in names:
+        docs = docs.withColumn(name, docs.doc_id * 2)
+    for (_, stage), want in zip(corpus_pipeline.STAGES[1:4], plain):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert rows(got) == rows(want)
+        assert all(r[-1] == 2 * r.doc_id for r in got.collect())
+    kept = corpus_pipeline.toxicity_stage(spark, docs, SF)
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, text), (5, text), (5, "something else entirely")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [(3, text), (5, "something else entirely")]
