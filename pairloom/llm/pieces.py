@@ -22,17 +22,22 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import operator
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm._memo import WordMemo, of_stage
+from pairloom.llm._memo import WordMemo, give_back, of_stage
+from pairloom.llm._words import cuts, plain, split
 
 SPACE = "▁"
-BATCH_BYTES = 4 << 20
+#: Bytes of text that are encoded at once; each different word of them is looked up once.
+BATCH_BYTES = 8 << 20
 #: Bytes of words that a worker remembers in a generation, whole words and parts of words each.
 MEMO_BYTES = 64 << 20
 
@@ -57,12 +62,15 @@ class PieceCoder:
         order = {s: k for k, s in enumerate(sorted(set(scores), reverse=True))}
         self.rank = {name: order[lib.get_score(i)] for name, i in self.ids.items()}
         self.of_byte = {b: i for i, b in self.bytes.items()}
+        # A byte's own name may stand in a text as well; a lone surrogate can't.
+        self.surface = ["\ud800" if i in self.bytes else name for i, name in enumerate(self.names)]
+        self.digits = [b"%d" % i for i in range(len(self.names))]
         self.joins = {x + y for name in self.ids for x, y in zip(name, name[1:])}
         if any(x != SPACE and y == SPACE for x, y in self.joins):
             raise ValueError("the vocabulary has pieces that reach into the next word")
         if len(self.of_byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
-        self.parts = WordMemo(lambda parts: [self.merge(p) for p in parts], MEMO_BYTES)
+        self.parts = WordMemo(lambda parts: [tuple(self.merge(p)) for p in parts], MEMO_BYTES)
         self.words = WordMemo(self._checked_words, MEMO_BYTES)
 
     def merge(self, text: str) -> list[int]:
@@ -112,6 +120,8 @@ class PieceCoder:
     def _split(self, text: str) -> list[str]:
         """Cut where no piece has the two characters side by side."""
         joins, out, last = self.joins, [], 0
+        if joins.issuperset(map(operator.add, text, text[1:])):
+            return [text]
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in joins:
                 out.append(text[last:i])
@@ -120,34 +130,61 @@ class PieceCoder:
         return out
 
     def _checked_words(self, words: list[str]) -> list[bytes]:
-        """Comma-joined ids of each word, a space sign before it."""
-        out = []
-        for parts, word, told in zip(self.parts.values([self._split(SPACE + w) for w in words]), words, self.library.encode(words, num_threads=1)):
-            ids = [i for p in parts for i in p]
-            if word and (ids != told or self.decode(ids) != word):
+        """The ids of each word, a space sign before it; a comma follows each id."""
+        out, surface, digits, start = [], self.surface, self.digits, 0
+        cut = [self._split(SPACE + w) for w in words]
+        found = self.parts.values([[p for parts in cut for p in parts]])[0]
+        for parts, word, told in zip(cut, words, self.library.encode(words, num_threads=1)):
+            stop = start + len(parts)
+            ids = list(found[start]) if len(parts) == 1 else [i for p in found[start:stop] for i in p]
+            start = stop
+            if ids != told or ("".join([surface[i] for i in ids]) != SPACE + word and self.decode(ids) != word):
                 raise ValueError(f"the library encodes {word!r} as {told}, not as {ids}")
-            out.append(b",".join(b"%d" % i for i in ids))
+            out.append(b",".join([digits[i] for i in ids]) + b",")
         return out
 
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, list[memoryview]]:
+        """Numbers of ids and comma-joined ids of texts whose words stand one space apart."""
+        different, number, bounds = split(texts, " ")
+        codes = pa.array(self.words.values([different.to_pylist()])[0], pa.large_binary())
+        upto = np.concatenate([[0], np.cumsum(pc.count_substring(codes, ",").to_numpy()[number])])
+        # Taken in the order of the words, the codes of a text lie end to end.
+        flat = codes.take(pa.array(number))
+        at = np.frombuffer(flat.buffers()[1], np.int64)[bounds].tolist()
+        view = memoryview(flat.buffers()[2])
+        return np.diff(upto[bounds]), [view[i : j - 1] for i, j in zip(at, at[1:])]
+
+    def _encode_other(self, text: str) -> tuple[int, bytes, bytes]:
+        """The same for any text, checked as a whole; the decoded text in UTF-8 comes third."""
+        if not text:
+            return 0, b"", b""
+        runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
+        ids = [i for part in self.parts.values([[p for r in runs for p in self._split(r)]])[0] for i in part]
+        told = self.library.encode(text, num_threads=1)
+        decoded = self.decode(ids)
+        if ids != told or decoded != self.library.decode(told):
+            raise ValueError(f"the library encodes a text of {len(text)} characters otherwise: {text[:60]!r}")
+        return len(ids), b",".join([self.digits[i] for i in ids]), decoded.encode()
+
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """For each text: number of ids, ids joined by commas, decoded text."""
-        plain = [t.split(" ") if t and SPACE not in t and "  " not in t and t[0] != " " and t[-1] != " " else [] for t in texts]
-        coded = [b",".join(v) for v in self.words.values(plain)]
-        out = []
-        for text, code in zip(texts, coded):
-            if code:
-                out.append((code.count(b",") + 1, code, text))
-            elif text:
-                runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
-                ids = [i for word in self.parts.values([[p for r in runs for p in self._split(r)]])[0] for i in word]
-                told = self.library.encode(text, num_threads=1)
-                decoded = self.decode(ids)
-                if ids != told or decoded != self.library.decode(told):
-                    raise ValueError(f"the library encodes a text of {len(text)} characters otherwise: {text[:60]!r}")
-                out.append((len(ids), b",".join(b"%d" % i for i in ids), decoded))
-            else:
-                out.append((0, b"", ""))
-        return out
+        counts, codes, decoded = self.encode_column(pa.array(texts, pa.large_string()))
+        return [(n, bytes(c), str(d, "utf-8")) for n, c, d in zip(counts.tolist(), codes, decoded)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, list, list]:
+        """Of each text: the number of ids, the ids joined by commas, the decoded text in UTF-8."""
+        odd = pc.match_substring_regex(texts, f"^$|^ |  | $|{SPACE}").to_numpy(zero_copy_only=False)
+        counts, codes, decoded = np.zeros(len(texts), np.int64), [b""] * len(texts), [b""] * len(texts)
+        usual = np.flatnonzero(~odd)
+        if len(usual):
+            some = texts.take(pa.array(usual))
+            counts[usual], found = self._encode_plain(some)
+            at, view = np.frombuffer(some.buffers()[1], np.int64).tolist(), memoryview(some.buffers()[2])
+            for k, i in enumerate(usual.tolist()):
+                codes[i], decoded[i] = found[k], view[at[k] : at[k + 1]]
+        for i in np.flatnonzero(odd).tolist():
+            counts[i], codes[i], decoded[i] = self._encode_other(texts[i].as_py())
+        return counts, codes, decoded
 
 
 def default_vocabulary() -> str:
@@ -160,31 +197,23 @@ def _rows(path: str, full: bool) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = of_stage(("pieces", path), lambda: PieceCoder(path))
 
-        def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
-            coded = coder.encode(texts)
-            cols = [
-                pa.array(ids, pa.int64()),
-                pa.array([n for n, _, _ in coded], pa.int64()),
-                pa.array([hashlib.sha256(c).hexdigest() for _, c, _ in coded], pa.string()),
-                pa.array([hashlib.sha256(d.encode()).hexdigest() for _, _, d in coded], pa.string()),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                cols += [pa.array([[int(i) for i in c.split(b",")] if c else [] for _, c, _ in coded], pa.list_(pa.int32())), pa.array([d for _, _, d in coded], pa.string())]
-                names += ["ids", "decoded"]
-            return pa.RecordBatch.from_arrays(cols, names)
-
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, text in zip(batch.column(0), batch.column(1)):
-                ids.append(i.as_py())
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size > BATCH_BYTES:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield flush(ids, texts)
+            texts = plain(batch.column(1))
+            for start, stop in cuts(texts, BATCH_BYTES):
+                counts, codes, decoded = coder.encode_column(texts.slice(start, stop - start))
+                cols = [
+                    batch.column(0).slice(start, stop - start),
+                    pa.array(counts, pa.int64()),
+                    pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
+                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if full:
+                    ids = [[int(i) for i in bytes(c).split(b",")] if c else [] for c in codes]
+                    cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([str(d, "utf-8") for d in decoded], pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     return rows
 
