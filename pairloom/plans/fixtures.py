@@ -34,7 +34,9 @@ FROM {{part}} a JOIN {{part}} b ON a.p_type = b.p_type AND a.p_size = b.p_size A
 
 
 def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_RAW.format(part="{part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    """The parts are dealt out first: a file of one partition would keep all pairs in one task."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return spark.sql(_RAW.format(part="{part}"), part=part.repartition(spark.sparkContext.defaultParallelism, "p_partkey"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
