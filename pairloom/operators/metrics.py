@@ -28,6 +28,10 @@ def metrics_of(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Colu
     return out | {"accuracy": _share(tp + tn, tp + fp + tn + fn), "tp": tp, "fp": fp, "tn": tn, "fn": fn}
 
 
+#: Thresholds that are candidates whatever the probabilities are.
+FIXED_CANDIDATES = (0.0, 0.5, 1.0)
+
+
 def _confusion(rows: DataFrame, predicted: Column, label: Column, by: Sequence[str]) -> DataFrame:
     cells = {"tp": predicted & label, "fp": predicted & ~label, "tn": ~predicted & ~label, "fn": ~predicted & label}
     return rows.groupBy(*by).agg(*[F.count_if(v).alias(k) for k, v in cells.items()], F.count("*").alias("total"))
@@ -58,22 +62,35 @@ def direct_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def threshold_sweep(scores: DataFrame) -> DataFrame:
     """Every candidate threshold with its metrics. scores: match_probability, label (boolean).
 
-    Candidates are 0, 0.5, 1, the probabilities and the middles between neighbours. A
-    candidate's confusion matrix follows from the counts above it, so windows run
-    over the distinct probabilities only, and no row is compared with a threshold.
+    Candidates are 0, 0.5, 1, the probabilities and the middles between neighbours; a
+    row without probability is never predicted and makes no candidate. A candidate's
+    confusion matrix follows from the counts at or above it, so no row is compared with
+    a threshold. Windows see one range of the distinct probabilities; from the ranges
+    above they need one row a range.
     """
     at = scores.groupBy(F.col("match_probability").alias("p")).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    middle = at.select(((F.col("p") + F.lead("p").over(Window.orderBy("p"))) / 2.0).alias("t")).filter("t IS NOT NULL")
-    fixed = scores.sparkSession.createDataFrame([(0.0,), (0.5,), (1.0,)], "t double")
-    candidates = fixed.unionByName(middle).unionByName(at.select(F.col("p").alias("t"))).distinct()
-    # Candidates and counts in one order; at equal values a candidate comes before the counts it includes.
-    both = candidates.select("t", F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(True).alias("is_t")).unionByName(
-        at.select(F.col("p").alias("t"), "pos", "neg", F.lit(False).alias("is_t"))
-    )
-    up = Window.orderBy(F.asc("t"), F.desc("is_t")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    all_ = Window.orderBy(F.asc("t"), F.desc("is_t")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = both.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up), "all_pos": F.sum("pos").over(all_), "all_neg": F.sum("neg").over(all_)}).filter("is_t")
-    sums = sums.withColumns({"fn": F.col("all_pos") - F.col("tp"), "tn": F.col("all_neg") - F.col("fp")})
+    ranged, _ = in_ranges(at, "p")
+    reached = [F.sum(F.when(F.col("p") >= t, F.col(v)).otherwise(0)).alias(f"{v}{i}") for i, t in enumerate(FIXED_CANDIDATES) for v in ("pos", "neg")]
+    # MOST_RANGES rows at most go to the driver.
+    tops = sorted((r.asDict() for r in ranged.groupBy("range").agg(F.min("p").alias("least"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *reached).collect()), key=lambda r: r["range"])
+    carried, above, pos, neg = [], None, 0, 0
+    for r in reversed(tops):
+        carried.append((r["range"], above, pos, neg))
+        above, pos, neg = r["least"], pos + r["pos"], neg + r["neg"]
+    spark = scores.sparkSession
+    kind = at.schema["p"].dataType.simpleString()
+    both = ranged.join(F.broadcast(spark.createDataFrame(carried, f"range int, above {kind}, pos_above long, neg_above long")), "range")
+    w = Window.partitionBy("range").orderBy("p")
+    up = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumns({"tp": F.sum("pos").over(up) + F.col("pos_above"), "fp": F.sum("neg").over(up) + F.col("neg_above"), "next": F.coalesce(F.lead("p").over(w), "above")})
+    own = F.struct(F.col("p").cast("double").alias("t"), "tp", "fp")
+    # Between neighbours without a number in between there is no middle.
+    middle = ((F.col("p") + F.col("next")) / 2.0).cast("double")
+    between = F.when((middle > F.col("p")) & (middle < F.col("next")), F.struct(middle.alias("t"), (F.col("tp") - F.col("pos")).alias("tp"), (F.col("fp") - F.col("neg")).alias("fp")))
+    found = both.filter("p IS NOT NULL").select(F.inline(F.array_compact(F.array(own, between)))).filter(~F.col("t").isin(*FIXED_CANDIDATES))
+    fixed = [(t, sum(r[f"pos{i}"] for r in tops), sum(r[f"neg{i}"] for r in tops)) for i, t in enumerate(FIXED_CANDIDATES)]
+    sums = found.unionByName(spark.createDataFrame(fixed, "t double, tp long, fp long"))
+    sums = sums.withColumns({"fn": F.lit(pos) - F.col("tp"), "tn": F.lit(neg) - F.col("fp")})
     return _expanded(sums, ["t"]).withColumnRenamed("t", "decision_threshold")
 
 

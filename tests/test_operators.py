@@ -1,5 +1,6 @@
 """Operators on small tables, and the errors that they must raise."""
 
+import math
 import random
 
 import pytest
@@ -215,3 +216,19 @@ def test_early_stop_on_a_whole_table(spark, patience):
             break
     assert sorted(map(tuple, out.select("epoch", "improved", "waited", "stopped").collect())) == want
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+def test_sweep_over_many_probabilities(spark):
+    """More distinct probabilities than a range holds, neighbours without a number between them, and nulls."""
+    draw = random.Random(7)
+    rows = [(draw.random(), draw.random() < 0.4) for _ in range(12_000)] + [(0.3, True), (math.nextafter(0.3, 1), False), (0.5, True), (None, True), (0.0, False)]
+    df = spark.createDataFrame(rows, "match_probability double, label boolean")
+    got = {r.decision_threshold: r for r in metrics.threshold_sweep(df).collect()}
+    known = sorted({p for p, _ in rows if p is not None})
+    want = {0.0, 0.5, 1.0, *known, *((x + y) / 2 for x, y in zip(known, known[1:]))}
+    assert got.keys() == want
+    for t in draw.sample(sorted(want), 40) + [0.0, 0.3, 0.5, 1.0]:
+        hit = [p is not None and p >= t for p, _ in rows]
+        right = sum(h == y for h, (_, y) in zip(hit, rows))
+        tp, guessed, real = sum(h and y for h, (_, y) in zip(hit, rows)), sum(hit), sum(y for _, y in rows)
+        assert math.isclose(got[t].accuracy, right / len(rows))
+        assert math.isclose(got[t].same_f1, 2 * tp / (guessed + real))
