@@ -368,17 +368,18 @@ def J2_resume_anti_join(spark, sf):
     return labels.to_label(fixtures.pairs(spark, sf), labels.eligible(fixtures.cache(spark, sf), "v1", "m1")).select("pair_id", "ordinal")
 
 
-@query(sql("SELECT arg_max(raw_answer, ordinal) AS raw_answer, max(ordinal) AS ordinal, pair_id FROM cache SEMI JOIN (SELECT pair_id FROM pairs WHERE ordinal % 2 = 0) USING (pair_id) WHERE prompt_version = 'v1' AND teacher_model = 'm1' GROUP BY pair_id", "cache", "pairs"))
+@query(sql("SELECT arg_max(raw_answer, ordinal) AS raw_answer, max(ordinal) AS ordinal, pair_id FROM cache SEMI JOIN (SELECT pair_id FROM pairs WHERE split = 'train') USING (pair_id) WHERE prompt_version = 'v1' AND teacher_model = 'm1' GROUP BY pair_id", "cache", "pairs"))
 def J3_W3_latest_rows(spark, sf):
     direct = fixtures.cache(spark, sf).withColumn("mode", F.lit("direct_prediction"))
-    return labels.latest_direct(direct, fixtures.pairs(spark, sf).filter("ordinal % 2 = 0"), "v1", "m1").select("raw_answer", "ordinal", "pair_id")
+    return labels.latest_direct(direct, fixtures.pairs(spark, sf).filter("split = 'train'"), "v1", "m1").select("raw_answer", "ordinal", "pair_id")
 
 
-_ONE_LABEL = "SELECT * FROM cache WHERE ordinal % 10 = 0 AND valid"
+_ONE_LABEL = "SELECT * FROM cache WHERE valid QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ordinal DESC) = 1"
 
 
 def _one_label(spark, sf):
-    return fixtures.cache(spark, sf).filter("ordinal % 10 = 0")
+    """The last valid label of each pair."""
+    return labels.last_per_pair(fixtures.cache(spark, sf).filter("valid"))
 
 
 @query(
@@ -407,10 +408,10 @@ def A15_target_counters(spark, sf):
     return labels.target_counters(p.unionByName(p.filter("ordinal % 19 = 0")), _one_label(spark, sf))
 
 
-@query(sql("SELECT (SELECT count(*) FROM pairs) AS seen, (SELECT count(*) FROM pairs SEMI JOIN (SELECT * FROM cache WHERE valid) USING (pair_id)) AS reused, (SELECT count(*) FROM cache WHERE ordinal % 10 = 1) AS generated, (SELECT count(*) FROM cache WHERE ordinal % 10 = 1 AND NOT valid) AS rejected", "pairs", "cache"))
+@query(sql("SELECT (SELECT count(*) FROM pairs) AS seen, (SELECT count(*) FROM pairs SEMI JOIN (SELECT * FROM cache WHERE valid) USING (pair_id)) AS reused, (SELECT count(*) FROM cache WHERE attempt = 1) AS generated, (SELECT count(*) FROM cache WHERE attempt = 1 AND NOT valid) AS rejected", "pairs", "cache"))
 def A14_run_counters(spark, sf):
     c = fixtures.cache(spark, sf)
-    return labels.run_counters(fixtures.pairs(spark, sf), c.filter("valid"), c.filter("ordinal % 10 = 1"))
+    return labels.run_counters(fixtures.pairs(spark, sf), c.filter("valid"), c.filter("attempt = 1"))
 
 
 @query(
@@ -495,7 +496,7 @@ _EPOCHS = "SELECT p_partkey AS epoch, (p_partkey * 37 % 11) / 16.0{d} AS macro_f
 
 
 @query(
-    f"WITH e AS ({_EPOCHS.format(d='::DOUBLE', t='part')} WHERE p_partkey <= 40), k AS (SELECT *, macro_f1 * 1000 + same_f1 AS key FROM e), "
+    f"WITH e AS ({_EPOCHS.format(d='::DOUBLE', t='part')}), k AS (SELECT *, macro_f1 * 1000 + same_f1 AS key FROM e), "
     "i AS (SELECT *, coalesce(key > max(key) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM k), "
     "w AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS waited FROM i), s AS (SELECT min(epoch) AS last FROM w WHERE waited >= 5) "
     "SELECT epoch, macro_f1, same_f1, improved, waited, coalesce(epoch = last, false) AS stopped FROM w, s WHERE last IS NULL OR epoch <= last"
@@ -505,9 +506,9 @@ def W5_early_stop(spark, sf):
     return metrics.early_stop(epochs, 5)
 
 
-@query("SELECT p_partkey AS step, floor((row_number() OVER (ORDER BY p_partkey) - 1) / 7)::BIGINT AS \"group\", count(*) OVER (PARTITION BY floor(p_partkey / 7)) AS group_rows FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey AS step, floor((row_number() OVER (ORDER BY p_partkey) - 1) / 7)::BIGINT AS \"group\", count(*) OVER (PARTITION BY floor(p_partkey / 7)) AS group_rows FROM part")
 def W6_accumulation_groups(spark, sf):
-    steps = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey <= 100").select(F.col("p_partkey").alias("step"))
+    steps = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("step"))
     return labels.accumulation_groups(steps, 7)
 
 
