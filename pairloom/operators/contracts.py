@@ -69,3 +69,10 @@ def manifest_check(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]))
     return both.select("path", F.explode(found).alias("problem"))
+
+
+def expect_rows(rows: DataFrame, n: int, what: str) -> DataFrame:
+    """``rows``, or an error if their number is not ``n``."""
+    if (found := rows.count()) != n:
+        raise ValueError(f"{what}: {found} rows instead of {n}")
+    return rows

@@ -13,6 +13,18 @@ from pairloom.functions.numbers import is_amount
 COMPARED = ("same_f1", "macro_f1", "accuracy")
 REFERENCES = {"llm_random": "llm_random_student", "gold_random": "gold_random_student"}
 
+#: The columns of the table of runs, in order.
+PILOT_COLUMNS = (
+    "variant", "student_id", "student_model_name", "student_architecture", "train_label_source", "budget", "selection_strategy", "teacher_model",
+    "teacher_label_cost_usd", "direct_llm_inference_cost_usd", "training_time_scope", "training_wall_seconds", "training_gpu_hours",
+    "student_inference_seconds", "student_inference_rows_per_second", "student_inference_seconds_per_pair", "inference_device_name", "inference_batch_size",
+    "same_precision", "same_recall", "same_f1", "macro_f1", "accuracy", "invalid_output_rate", "tp", "fp", "tn", "fn",
+    "same_f1_delta_vs_llm_random", "macro_f1_delta_vs_llm_random", "accuracy_delta_vs_llm_random",
+    "same_f1_delta_vs_gold_random", "macro_f1_delta_vs_gold_random", "accuracy_delta_vs_gold_random",
+)
+#: What a run was trained as where its summary does not say.
+IDENTITY = {"student_id": "flan-t5-base", "model_name": "google/flan-t5-base", "architecture": "seq2seq"}
+
 
 def union_runs(students: DataFrame, direct: DataFrame) -> DataFrame:
     return students.unionByName(direct, allowMissingColumns=True)
@@ -108,3 +120,68 @@ def identity_mismatches(training: DataFrame, metrics: DataFrame, fields: Sequenc
 def distinct_models(runs: DataFrame) -> DataFrame:
     """One row: how many different models the runs name (more than one is a mix of runs)."""
     return runs.agg(F.count_distinct(F.struct("student_id", "student_model_name", "student_architecture")).alias("n_models"))
+
+
+def pilot_table(
+    variants: DataFrame, targets: DataFrame, metrics: DataFrame, training: DataFrame, budget: int, direct: DataFrame | None = None, included: Sequence[str] | None = None, allow_partial: bool = False
+) -> DataFrame:
+    """One row a student run and one for the direct labeller, in ``PILOT_COLUMNS``.
+
+    variants: variant, label_source, selection_strategy (what is expected of each);
+    targets: variant, label_source, selection_strategy, teacher_model,
+    estimated_cost_usd; metrics and training: one row a variant, with the columns that
+    they have; direct: the labeller's row. The targets are aggregated by variant; all
+    else is a row a run. A run without all parts is left out if ``allow_partial``, and
+    an error otherwise; parts that contradict each other are always an error.
+    """
+    cost, source = F.col("estimated_cost_usd"), F.col("label_source")
+    same = ("label_source", "selection_strategy", "teacher_model")
+    counted = targets.groupBy("variant").agg(
+        F.count("*").alias("n_targets"),
+        F.sum(F.coalesce(cost, F.lit(0.0))).alias("teacher_label_cost_usd"),
+        F.count_if((cost.isNull() & (source == "llm_teacher")) | ~is_amount(F.coalesce(cost, F.lit(0.0)))).alias("bad_costs"),
+        *[f(F.nullif(F.col(c), F.lit(""))).alias(f"{k}_{c}") for c in same for k, f in (("least", F.min), ("most", F.max))],
+    )
+    told = [c for c in IDENTITY if c in training.columns]
+    trained = training.select("variant", "training_time_scope", "training_wall_seconds", *[(F.col(c) if c in told else F.lit(None).cast("string")).alias(f"trained_{c}") for c in IDENTITY])
+    seen = metrics.withColumns({f"seen_{c}": F.col(c) if c in metrics.columns else F.lit(None).cast("string") for c in IDENTITY}).drop(*IDENTITY)
+    expected = variants.select("variant", F.col("label_source").alias("wanted_source"), F.col("selection_strategy").alias("wanted_strategy"))
+    runs = assembled(variants, counted, seen, trained, included).join(expected, "variant")
+    configured = F.col("trained_student_id").isNotNull() | F.col("trained_architecture").isNotNull()
+    identity = {c: F.coalesce(f"trained_{c}", F.lit(v)) for c, v in IDENTITY.items()}
+    strategy = F.coalesce("least_selection_strategy", "wanted_strategy")
+    faults = {
+        "number of targets": F.col("n_targets") != budget,
+        "label costs": F.col("bad_costs") > 0,
+        "label_source": ~F.col("least_label_source").eqNullSafe(F.col("wanted_source")),
+        "selection_strategy": ~strategy.eqNullSafe(F.col("wanted_strategy")),
+        "training_wall_seconds": F.col("training_wall_seconds").isNull(),
+        "training_time_scope": F.coalesce(F.col("training_time_scope") == "", F.lit(True)),
+        **{f"several values of {c}": F.col(f"least_{c}") != F.col(f"most_{c}") for c in same},
+        **{f"model by {c}": F.when(F.col(f"seen_{c}").isNull(), configured).otherwise(F.col(f"seen_{c}") != identity[c]) for c in IDENTITY},
+    }
+    wrong = F.array_compact(F.array(*[F.when(bad, F.lit(what)) for what, bad in faults.items()]))
+    # A row a variant: their number is the caller's.
+    found = runs.select("variant", "missing", F.when(F.size("missing") == 0, wrong).alias("wrong"), F.when(F.size("missing") == 0, F.struct(*[v.alias(c) for c, v in identity.items()])).alias("model")).collect()
+    if bad := sorted(f"{r.variant}: {', '.join(r.wrong)}" for r in found if r.wrong):
+        raise ValueError(f"runs whose parts disagree: {'; '.join(bad)}")
+    if len({r.model for r in found if r.model}) > 1:
+        raise ValueError("the runs are of several models")
+    lacking = sorted(f"{r.variant}: {', '.join(r.missing)}" for r in found if r.missing) + ["direct"] * (direct is None)
+    if lacking and not allow_partial:
+        raise FileNotFoundError(f"missing parts of runs: {'; '.join(lacking)}")
+    students = runs.filter(F.size("missing") == 0).withColumns(
+        {
+            "variant": F.concat("variant", F.lit("_student")),
+            "student_id": identity["student_id"],
+            "student_model_name": identity["model_name"],
+            "student_architecture": identity["architecture"],
+            "train_label_source": F.col("least_label_source"),
+            "budget": F.lit(budget).cast("long"),
+            "selection_strategy": strategy,
+            "teacher_model": F.col("least_teacher_model"),
+            "training_gpu_hours": F.col("training_wall_seconds") / 3600.0,
+        }
+    )
+    table = with_deltas(students if direct is None else union_runs(students, direct))
+    return table.select(*[F.col(c) if c in table.columns else F.lit(None).cast("double").alias(c) for c in PILOT_COLUMNS])

@@ -583,6 +583,39 @@ def J9_J12_F5_R5_assembly(spark, sf):
     return out.select("variant", F.array_join("missing", ",").alias("missing"))
 
 
+_VARIANTS = [("gold_random", "gold", "random"), ("llm_random", "llm_teacher", "llm_random"), ("llm_active", "llm_teacher", "llm_active_bucketed_v1")]
+_MEASURES = [("gold_random", 0.75, 0.8125, 0.875, 64), ("llm_random", 0.625, 0.75, 0.8125, 60), ("llm_active", 0.6875, 0.78125, 0.84375, 62)]
+
+
+def _pilot_sql() -> str:
+    values = lambda rows: ", ".join(str(r) for r in rows)
+    given = ("variant", "train_label_source", "selection_strategy", "budget", "teacher_model", "teacher_label_cost_usd", "same_f1", "macro_f1", "accuracy", "tp", "student_id", "student_model_name", "student_architecture")
+    more = {"training_time_scope": "'wall'", "training_wall_seconds": "900.0::DOUBLE", "training_gpu_hours": "0.25::DOUBLE"}
+    more |= {f"{m}_delta_vs_{k}": f"{m} - (SELECT {m} FROM x WHERE variant = '{v}')" for k, v in cost.REFERENCES.items() for m in cost.COMPARED}
+    student = [c if c in given else f"{more.get(c, 'NULL::DOUBLE')} AS {c}" for c in cost.PILOT_COLUMNS]
+    direct = {"variant": "'direct_llm_matcher'", "direct_llm_inference_cost_usd": "0.75::DOUBLE", "same_f1": "0.875::DOUBLE", "macro_f1": "0.9375::DOUBLE", "accuracy": "0.96875::DOUBLE"}
+    return (
+        f"WITH v AS (SELECT * FROM (VALUES {values(_VARIANTS)}) AS t(variant, train_label_source, selection_strategy)), m AS (SELECT variant, same_f1::DOUBLE AS same_f1, macro_f1::DOUBLE AS macro_f1, accuracy::DOUBLE AS accuracy, tp::BIGINT AS tp FROM (VALUES {values(_MEASURES)}) AS t(variant, same_f1, macro_f1, accuracy, tp)), "
+        "p AS (SELECT count(*) AS budget, sum((p_partkey % 64) / 1024.0::DOUBLE) AS usd FROM part), "
+        "x AS (SELECT v.variant || '_student' AS variant, v.train_label_source, v.selection_strategy, p.budget, CASE WHEN v.train_label_source <> 'gold' THEN 'm1' END AS teacher_model, CASE WHEN v.train_label_source <> 'gold' THEN usd ELSE 0 END AS teacher_label_cost_usd, "
+        "same_f1, macro_f1, accuracy, tp, 's1' AS student_id, 'm/base' AS student_model_name, 'seq2seq' AS student_architecture FROM v JOIN m USING (variant), p) "
+        f"SELECT {', '.join(student)} FROM x UNION ALL SELECT {', '.join(direct.get(c, 'NULL') for c in cost.PILOT_COLUMNS)}"
+    )
+
+
+@query(_pilot_sql())
+def J9_F14_R5_pilot_table(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
+    variants = _lit_rows(spark, "variant string, label_source string, selection_strategy string", _VARIANTS)
+    paid = F.col("v.label_source") == "llm_teacher"
+    each = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(variants.columns, v)]) for v in _VARIANTS]))
+    targets = part.select("p_partkey", each.alias("v")).select("v.*", F.when(paid, "m1").alias("teacher_model"), F.when(paid, (F.col("p_partkey") % 64) / 1024.0).alias("estimated_cost_usd"))
+    model = {"student_id": F.lit("s1"), "model_name": F.lit("m/base"), "architecture": F.lit("seq2seq")}
+    measures = _lit_rows(spark, "variant string, same_f1 double, macro_f1 double, accuracy double, tp long", _MEASURES).withColumns(model)
+    training = variants.select("variant", F.lit("wall").alias("training_time_scope"), F.lit(900.0).alias("training_wall_seconds")).withColumns(model)
+    return cost.pilot_table(variants, targets, measures, training, part.count(), _direct(spark).withColumn("direct_llm_inference_cost_usd", F.lit(0.75)))
+
+
 @query("SELECT n_name AS variant, 'model_name' AS field, 'm' || n_regionkey AS expected, 'm' || (n_regionkey + 1) AS observed FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT n_name, 'architecture', 'seq2seq', 'other' FROM nation WHERE n_nationkey % 6 = 0")
 def J10_identity_mismatches(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +35,14 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     partitions go to the driver.
     """
     lines = spark.read.text(path).select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = {r.p: r["count"] for r in lines.groupBy("p").count().collect()}
-    before, total = {}, 0
-    for p in range(max(counts, default=-1) + 1):
-        before[p] = total
-        total += counts.get(p, 0)
-    starts = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]) if before else None
-    place = F.lit(0) if starts is None else starts[F.col("p")] + (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33))
-    return lines.filter(F.regexp_replace("value", r"\s", "") != "").select("value", place.cast("long").alias("ordinal"))
+    starts, total = [], 0
+    for p, n in sorted(map(tuple, lines.groupBy("p").count().collect())):
+        starts.append((p, total))
+        total += n
+    # A row a partition of the read.
+    placed = lines.join(F.broadcast(spark.createDataFrame(starts, "p int, start long")), "p")
+    place = F.col("start") + (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33))
+    return placed.filter(F.regexp_replace("value", r"\s", "") != "").select("value", place.alias("ordinal"))
 
 
 def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -50,6 +51,30 @@ def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFram
     return read.select("row.*", "ordinal")
 
 
+def first_json_lines(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:
+    """The rows among the first ``limit`` lines of the files, where blank lines count."""
+    return numbered_json_lines(spark, path, schema).filter(F.col("ordinal") < limit).drop("ordinal")
+
+
+def target_rows(spark: SparkSession, path: str, schema: str, split: str | None = None) -> DataFrame:
+    """Training targets, of one split if it is named."""
+    rows = json_lines(spark, path, schema)
+    return rows if split is None else rows.filter(F.col("split") == split)
+
+
+def decision_threshold(spark: SparkSession, path: str) -> float:
+    """The threshold that a document names; 0.5 where there is no document, an error outside 0 to 1."""
+    try:
+        told = document(spark, path, "decision_threshold DOUBLE").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0.5
+    if told is None or told[0] is None or not 0.0 <= told[0] <= 1.0:
+        raise ValueError(f"{path} names no threshold between 0 and 1: {told and told[0]}")
+    return told[0]
+
+
 def checked_cache(spark: SparkSession, path: str, schema: str, direct: bool = False) -> DataFrame:
     """Cache lines with ``ordinal``, from 0 with blank lines counted, and ``violations``; a line that is no JSON has "unparsable" and stays as ``_corrupt_record``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
