@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import numbers, text
 from pairloom.functions.features import BUCKETS, FEATURES, HYBRID_ONLY, with_bucket_scores
 from pairloom.operators import contracts, cost, labels, metrics, pairs, selection, summary
-from pairloom.plans import fixtures
+from pairloom.plans import files, fixtures
 from pairloom.plans.fixtures import sql
 
 FLAGSHIP = "T2_bucketed_selection"
@@ -751,6 +751,39 @@ def N8_hard_negative(spark, sf):
     return selection.top_k(train, 32, "score_hard_negative_candidate", "hard_negative").select("pair_id", "selection_score", "selection_rank")
 
 
+# --- files
+
+
+@query(files.CUSTOMERS_SQL)
+def S1_K1_K3_json_lines(spark, sf):
+    return files.json_lines(spark, sf)
+
+
+@query(f"SELECT * RENAME (c_mktsegment AS split) FROM ({files.CUSTOMERS_SQL}) WHERE c_mktsegment = 'MACHINERY'")
+def S2_S9_target_rows(spark, sf):
+    return files.gzip_lines_of_a_segment(spark, sf)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation ORDER BY 1 LIMIT 10")
+def S6_K2_first_lines(spark, sf):
+    return files.numbered(spark, sf, 10)
+
+
+@query("SELECT count(*) AS n, max(c_name) AS last, NULL::VARCHAR AS none FROM customer")
+def S8_K4_K7_documents(spark, sf):
+    return files.documents(spark, sf)
+
+
+@query("SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation")
+def K5_K6_tables(spark, sf):
+    return files.tables(spark, sf)
+
+
+@query("SELECT n_name || '=' || n_nationkey AS line FROM nation")
+def K9_key_values(spark, sf):
+    return files.key_values(spark, sf)
+
+
 @query(None)
 def X1_X3_X4_labelled_by_fake(spark, sf):
     """A labeller of fixed rules instead of a model: SQL can't express a call."""
