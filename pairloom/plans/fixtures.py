@@ -72,7 +72,10 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = spark.createDataFrame([(0,), (1,), (2,)], "attempt int")
     slim = pairs(spark, sf_dir).select("pair_id", "split", F.col("label").cast("int").alias("label"), "ordinal")
     raw = spark.sql(_CACHE.replace("D0", "D"), pairs=slim, tries=tries)
-    return raw.withColumn("label", answer_label(F.col("raw_answer"))).withColumns(
+    # A cache file has its labels as a column. Here an explode of one keeps filters from being
+    # pushed below it, which would parse the answer again wherever they name the label.
+    parsed = raw.select("*", F.explode(F.array(answer_label(F.col("raw_answer")))).alias("label"))
+    return parsed.withColumns(
         {"valid": F.col("label").isNotNull(), "selection_bucket_rank": F.lit(1), "selection_bucket_quota": F.lit(32)}
     )
 
