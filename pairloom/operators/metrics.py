@@ -140,6 +140,12 @@ def early_stop(epochs: DataFrame, patience: int) -> DataFrame:
 def token_audit(rows: DataFrame, n_tokens: Column, limit: int, examples: int = 20) -> DataFrame:
     """One row: rows, the longest, how many are over the limit, and the first pair_ids of those."""
     lengths = rows.select("pair_id", n_tokens.alias("n_tokens"))
-    over = lengths.filter(F.col("n_tokens") > limit).orderBy("pair_id").limit(examples).agg(F.array_sort(F.collect_list("pair_id")).alias("examples"))
-    counted = lengths.agg(F.count("*").alias("rows"), F.max("n_tokens").alias("max_tokens"), F.count_if(F.col("n_tokens") > limit).alias("overflow"))
+    return token_audit_of(lengths.withColumn("n", F.lit(1).cast("long")), lengths.filter(F.col("n_tokens") > limit), limit, examples)
+
+
+def token_audit_of(lengths: DataFrame, over: DataFrame, limit: int, examples: int = 20) -> DataFrame:
+    """``token_audit`` of how many rows (n) have how many tokens (n_tokens), and of the pair_ids over the limit, or the first of them."""
+    over = over.select("pair_id").orderBy("pair_id").limit(examples).agg(F.array_sort(F.collect_list("pair_id")).alias("examples"))
+    rows, long = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n_tokens") > limit, F.col("n"))), F.lit(0))
+    counted = lengths.agg(rows.alias("rows"), F.max("n_tokens").alias("max_tokens"), long.alias("overflow"))
     return counted.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")
