@@ -32,8 +32,11 @@ def metrics_of(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Colu
 FIXED_CANDIDATES = (0.0, 0.5, 1.0)
 
 
-def _confusion(rows: DataFrame, predicted: Column, label: Column, by: Sequence[str]) -> DataFrame:
+def _confusion(rows: DataFrame, predicted: Column, label: Column, by: Sequence[str], n: Column | None = None) -> DataFrame:
+    """With ``n`` a row counts as so many."""
     cells = {"tp": predicted & label, "fp": predicted & ~label, "tn": ~predicted & ~label, "fn": ~predicted & label}
+    if n is not None:
+        return rows.groupBy(*by).agg(*[F.sum(F.when(v, n).otherwise(0)).alias(k) for k, v in cells.items()], F.coalesce(F.sum(n), F.lit(0)).alias("total"))
     return rows.groupBy(*by).agg(*[F.count_if(v).alias(k) for k, v in cells.items()], F.count("*").alias("total"))
 
 
@@ -53,9 +56,9 @@ def prediction_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def direct_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Metrics where invalid rows are left out: no row at all if none is valid. label, gold_label: cache spelling."""
-    counted = _confusion(rows.filter("valid"), F.col("label") == "match", F.col("gold_label") == "match", by)
+def direct_metrics(rows: DataFrame, by: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Metrics where invalid rows are left out: no row at all if none is valid. label, gold_label: cache spelling; n: a column that says how many rows a row is."""
+    counted = _confusion(rows.filter("valid"), F.col("label") == "match", F.col("gold_label") == "match", by, F.col(n) if n else None)
     return _expanded(counted.filter("total > 0"), by)
 
 
