@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ LABELS = ("match", "non_match")
 MODES = ("teacher_label", "direct_prediction")
 
 
-def cache_violations(direct: bool = False) -> Column:
-    """Names of the rules that a cache row breaks; an empty array for a good row."""
+def _broken(direct: bool) -> dict[str, Column]:
+    """The rules of cache rows by name: true where a row breaks one."""
     c = F.col
     rules: dict[str, Column] = {f"{n}_missing": c(n).isNull() | (c(n) == "") for n in ("pair_id", "dataset", "teacher_model", "prompt_version", "created_at")}
     rules |= {f"{n}_below_1": c(n) < 1 for n in ("selection_rank", "selection_bucket_rank")}
@@ -44,7 +46,17 @@ def cache_violations(direct: bool = False) -> Column:
     if direct:
         rules["gold_label_missing"] = c("gold_label").isNull()
         rules["mode_other"] = c("mode") != "direct_prediction"
-    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+    return rules
+
+
+def cache_violations(direct: bool = False) -> Column:
+    """Names of the rules that a cache row breaks; an empty array for a good row."""
+    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in _broken(direct).items()]))
+
+
+def keeps_rules(direct: bool = False) -> Column:
+    """Whether ``cache_violations`` are none, without naming them."""
+    return reduce(lambda a, b: a & b, [~F.coalesce(broken, F.lit(False)) for broken in _broken(direct).values()])
 
 
 def with_violations(rows: DataFrame, direct: bool = False) -> DataFrame:
