@@ -232,3 +232,10 @@ def test_sweep_over_many_probabilities(spark):
         tp, guessed, real = sum(h and y for h, (_, y) in zip(hit, rows)), sum(hit), sum(y for _, y in rows)
         assert math.isclose(got[t].accuracy, right / len(rows))
         assert math.isclose(got[t].same_f1, 2 * tp / (guessed + real))
+
+
+def test_composition_of_overlaps_and_hard_negatives(spark):
+    rows = [("a", True, 0.25, 0, 0.0), ("a", False, 0.5, 2, 1.0), ("a", False, 0.333333, 0, 1.0), ("b", False, 0.0, 1, 0.0), ("c", True, None, 0, 0.0)]
+    df = spark.createDataFrame(rows, "strategy string, label boolean, title_similarity double, missing_key_fields int, hard_negative_hint double")
+    got = {r.strategy: (r.n, r.mean_overlap, r.missing_rate, r.hard_negative_rate) for r in summary.composition(df.withColumn("label", F.col("label").cast("int")), "strategy").collect()}
+    assert got == {"a": (3, 1083333 / 3 / 1e6, 1 / 3, 2 / 3), "b": (1, 0.0, 1.0, 0.0), "c": (1, None, 0.0, 0.0)}
